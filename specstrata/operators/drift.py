@@ -137,14 +137,16 @@ def renames(files: DataFrame, changes: DataFrame) -> DataFrame:
     present = F.col("path").isNotNull()
     item = values.groupBy("feed", "step", "prefix", "item").agg(
         F.max("late").alias("_in_new"), F.min("late").alias("_in_new_only"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(present & ~F.col("late"), F.struct("path", "val"))))).alias("old"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(present & F.col("late"), F.struct("path", "val"))))).alias("new"),
+        F.array_sort(F.collect_set(F.when(present & ~F.col("late"), F.struct("path", "val")))).alias("old"),
+        F.array_sort(F.collect_set(F.when(present & F.col("late"), F.struct("path", "val")))).alias("new"),
     )
     shared = item.where("_in_new and not _in_new_only")
     pairs = shared.select("feed", "step", "prefix", "old", "new").join(steps.select("feed", F.col("seq").alias("step"), "gone", "come"), ["feed", "step"])
     pairs = pairs.select("feed", "step", "prefix", "old", "new", "come", F.explode("gone").alias("old_path")).select("feed", "step", "prefix", "old", "new", "old_path", F.explode("come").alias("new_path"))
-    a, b = F.col("old")[F.col("old_path")], F.col("new")[F.col("new_path")]
-    judged = pairs.groupBy("feed", "step", "old_path", "new_path").agg(F.min(a.eqNullSafe(b)).alias("same"), F.sum(F.when(a.isNotNull() & a.eqNullSafe(b), 1).otherwise(0)).alias("n"))
+    # all values of the field in the item: more than one only where a file holds the item twice
+    a = F.transform(F.filter("old", lambda x: x["path"] == F.col("old_path")), lambda x: x["val"])
+    b = F.transform(F.filter("new", lambda x: x["path"] == F.col("new_path")), lambda x: x["val"])
+    judged = pairs.groupBy("feed", "step", "old_path", "new_path").agg(F.min(a == b).alias("same"), F.sum(F.when((F.size(a) > 0) & (a == b), 1).otherwise(0)).alias("n"))
     fit = judged.where("same and n > 0").groupBy("feed", "step").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "new_path", "old_path"))).alias("c"))
     # a step has as many candidates as a file has fields; take them in order, each field once
     none = F.array().cast("array<struct<n:bigint,new_path:string,old_path:string>>")
