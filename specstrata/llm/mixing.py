@@ -52,16 +52,17 @@ def pfair(counts: dict[str, int]) -> dict[str, list[int]]:
 def mix_plan(targets: list[tuple[int, str, float, int]], sizes: dict[str, int], blocks: int = BLOCKS, total_tokens: int | None = None) -> list[dict]:
     """Quota, passes and schedule of every (mix_id, source).
 
-    A mix is as large as its sources together unless ``total_tokens`` says
-    otherwise. A source that its cap on repeats keeps below its share gives
-    all it may; the others keep to their part of the wanted whole, so the
-    whole shrinks and the real shares tell. Sources without text give nothing.
+    A mix is the largest in which every source that has text meets its share
+    within its cap on repeats; a source without text gives nothing, and the
+    others keep their proportions. With ``total_tokens`` the mix has that size
+    instead: a source that its cap keeps below its share gives all it may, so
+    the whole shrinks and the real shares tell.
     """
     plan: list[dict] = []
     for mix_id in sorted({t[0] for t in targets}):
         own = [t for t in targets if t[0] == mix_id]
-        whole = total_tokens or sum(sizes.get(s, 0) for _, s, _, _ in own)
-        quota = {s: min(int(share * whole), cap * sizes.get(s, 0)) for _, s, share, cap in own}
+        whole = total_tokens or min((cap * sizes[s] / share for _, s, share, cap in own if sizes.get(s)), default=0)
+        quota = {s: min(round(share * whole), cap * sizes.get(s, 0)) for _, s, share, cap in own}
         block = max(1, -(-sum(quota.values()) // blocks))
         slots = pfair({s: -(-q // block) for s, q in quota.items()})
         for _, s, share, cap in own:
