@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from specstrata.plans import training
+from specstrata.plans import reference, training
 
-MODULES = [training]
+MODULES = [training, reference]
 
 
 def queries() -> dict:
