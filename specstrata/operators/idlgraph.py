@@ -55,9 +55,9 @@ def ancestors(names: DataFrame) -> DataFrame:
         tail = chain.select(F.col("name").alias("end"), F.col("path").alias("more"))
         joined = chain.withColumn("end", F.element_at("path", -1)).join(tail, "end", "left")
         fresh = F.filter(F.coalesce("more", F.array().cast("array<string>")), lambda x: (x != F.col("name")) & ~F.array_contains(F.col("path"), x))
-        longer = materialize(joined.select("name", F.concat("path", fresh).alias("path"), (F.size(fresh) > 0).alias("grew")))
+        longer = materialize(joined.select("name", F.concat("path", fresh).alias("path"), F.size("path").alias("was")))
         chain = longer.select("name", "path")
-        if longer.where("grew").isEmpty():
+        if longer.where("size(path) > was").isEmpty():
             break
     return chain.select("name", F.posexplode("path").alias("k", "ancestor")).where("ancestor <> name").select("name", "ancestor", (F.col("k") + 1).alias("depth"))
 
