@@ -19,7 +19,8 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset("tr tbody thead tfoot".split()), "td": frozenset("td th tr tbody thead tfoot".split()),
     "th": frozenset("td th tr tbody thead tfoot".split()), "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
-SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "p": {"table", "td", "th", "li", "dd", "body", "section", "div"}, "option": {"select"}, "head": {"html"}}
+SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "body": {"html"}}
+CONTAINERS = frozenset("article aside blockquote body button dd details div dl dt fieldset figure footer form header li main nav ol section table td th tr ul".split())
 BLANKS = re.compile("[\t\n\x0b\f\r    -     　﻿]+")
 
 
@@ -112,14 +113,16 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
-        for k in range(len(self.open) - 1, 0, -1):
+        scope = SCOPES.get(tag, CONTAINERS)
+        k = len(self.open) - 1
+        while k > 0:
             name = self.open[k].tag
             if tag in CLOSED_BY.get(name, ()):
                 del self.open[k:]
+                k = len(self.open)
+            elif name in scope:
                 break
-            if name in SCOPES.get(tag, ()) or name in ("table", "td", "th", "li", "dd", "section", "div", "button") and name not in CLOSED_BY.get(tag, ()) and tag not in CLOSED_BY.get(name, ()):
-                if not (name in ("td", "th") and tag in ("tr", "tbody")):
-                    break
+            k -= 1
         node = Node(tag, {k: (v or "") for k, v in reversed(attrs)})
         self.open[-1].add(node)
         if tag not in VOID:

@@ -73,7 +73,7 @@ def tour_paths(intervals: DataFrame, stretch: int = STRETCH) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ends, paths = None, [], []
         for pdf in batches:
-            vs, out = [], []
+            out = []
             for v, root, part, entry, leave, label, carry in zip(pdf["v"].tolist(), pdf["root"].tolist(), pdf["part"].tolist(), pdf["entry"].tolist(), pdf["exit"].tolist(), pdf["label"].tolist(), pdf["carried"].tolist()):
                 if now != (root, part):
                     now, ends, paths = (root, part), [], []
@@ -84,9 +84,8 @@ def tour_paths(intervals: DataFrame, stretch: int = STRETCH) -> DataFrame:
                 ends.append(leave)
                 paths.append(path)
                 if not carry:
-                    vs.append(v)
-                    out.append(path)
-            yield pd.DataFrame({"v": vs, "path": out})
+                    out.append((v, path))
+            yield pd.DataFrame(out, columns=["v", "path"])
 
     return both.repartition("root", "part").sortWithinPartitions("root", "part", "entry").mapInPandas(scan, "v long, path string")
 

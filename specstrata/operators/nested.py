@@ -110,7 +110,7 @@ def schema_graph(df: DataFrame, payload: str) -> Graph:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = _edges(pdf[payload])
-            yield pd.DataFrame({"element": [clean(k[0]) for k in found], "name": [clean(k[1]) for k in found], "how": list(found.values())})
+            yield pd.DataFrame([(clean(k[0]), clean(k[1]), how) for k, how in found.items()], columns=["element", "name", "how"])
 
     rows = df.select(payload).mapInPandas(scan, "element string, name string, how string").distinct()
     wide = [r["element"] for r in rows.groupBy("element").count().where(F.col("count") > 3 * MANY_KEYS).select("element").collect()]

@@ -85,7 +85,7 @@ def snapshot_changes(compact: DataFrame, numbers: list[int], buckets: int) -> Da
             for name, source, keys, rows in zip(("added", "removed", "changed"), (after, before, after), (right[0], left[0], right[0]), _differ(left, right)):
                 if len(rows):
                     out.append(pd.DataFrame({"snapshot_no": after, "source_no": source, "k1": keys["a"][rows], "k2": keys["b"][rows], "change_kind": name}))
-        return pd.concat(out) if out else pd.DataFrame({"snapshot_no": [], "source_no": [], "k1": [], "k2": [], "change_kind": []})
+        return pd.concat(out) if out else pd.DataFrame([], columns=["snapshot_no", "source_no", "k1", "k2", "change_kind"])
 
     schema = "snapshot_no int, source_no int, k1 long, k2 long, change_kind string"
     return compact.withColumn("_bucket", F.pmod("k2", F.lit(buckets))).groupBy("_bucket").applyInPandas(lambda pdf: compare(pdf), schema)

@@ -1,0 +1,138 @@
+import json
+
+import pytest
+
+from specstrata.extract import modules as m
+from specstrata.extract.css import css
+from specstrata.extract.cssgrammar import GrammarError, parse_value
+from specstrata.extract.dom import parse_html
+from specstrata.extract.table import extract, idl_reports, items, select_modules
+from specstrata.extract.webidl import IdlError, idl_report, member_names, parse_idl
+
+
+def page(html, **spec):
+    return m.Page(html, {"url": "https://a.example/x/", "shortname": "x", "title": None} | spec)
+
+
+def test_tree_repairs():
+    doc = parse_html("<table><tr><td>a<td>b<tr><td>c</table><p>x<b>y<br><p>z</b><ul><li>1<li>2</ul>")
+    assert [len(tr.select("td")) for tr in doc.select("tr")] == [2, 1]
+    assert len(doc.select("ul > li")) == 2 and len(doc.select("p")) == 2
+    assert parse_html("<td>open<p>x").first("p") is not None
+
+
+def test_selectors():
+    doc = parse_html('<div id=a class="x y"><p data-k="v w">1</p><p>2</p><span><i>3</i></span></div>')
+    for selector, n in (("div.x.y > p", 2), ("#a p:first-child", 1), ("p + p", 1), ("p:not([data-k])", 1), ("[data-k^=v]", 1), ("[data-k$='w']", 1), ("[data-k*=' ']", 1), ("span:has(i)", 1), (":is(p, i)", 3), ("p:nth-child(2)", 1), ("span:has(> i), p:last-child", 1)):
+        assert len(doc.select(selector)) == n, selector
+
+
+def test_simple_modules():
+    p = page("<title> A\n b </title><meta name=generator content='Bikeshed 1'><meta name=revision content='" + "a1" * 20 + "'><div class=head><h2>Draft, 3 May 2024</h2></div>")
+    assert (m.title(p), m.generator(p), m.revision(p), m.last_modified(p)) == ("A b", "bikeshed", "a1" * 20, "3 May 2024")
+    assert m.title(page("", title="T")) == "T" and m.title(page("")) == "[No title found for https://a.example/x/]"
+
+
+def test_links_and_ids():
+    p = page('<a href="https://B.example">1</a><a href="https://b.example/#z">2</a><a href="https://b.example/#y">2</a><a data-link-type=dfn href="https://b.example/c#q">3</a><a href="/rel#n">4</a><del><a href="https://no.example/">5</a></del>')
+    assert m.links(p) == {"rawlinks": {"https://b.example/": ["z", "y"]}, "autolinks": {"https://b.example/c": ["q"]}}
+    p = page('<p id="a b"></p><a name=n></a><i id=respec-x></i><section data-page="https://a.example/x/2"><b id=c></b></section><a id=m name=m></a>')
+    assert m.ids(p) == ["https://a.example/x/#a%20b", "https://a.example/x/2#c", "https://a.example/x/#m", "https://a.example/x/#n"]
+
+
+def test_headings_and_outline():
+    p = page("<h1 id=t>Title</h1><section id=s><h2 id=h>2.1. Model</h2><p id=p>x</p><h3>3 Deep</h3><p id=q></p></section><h2><a name=n>Old</a></h2>")
+    assert m.headings(p)[1] == {"id": "s", "href": "https://a.example/x/#s", "title": "Model", "number": "2.1", "alternateIds": ["h"], "level": 2}
+    assert [h["title"] for h in m.headings(p)] == ["Title", "Model", "Old"]
+    assert p.headings_by_id["https://a.example/x/#p"]["title"] == "Model" and p.headings_by_id["https://a.example/x/#q"] == {"href": "https://a.example/x/", "title": "Deep", "number": "3"}
+    assert [s["title"] for s in m.outline(p)] == ["Title", "2.1. Model", "3 Deep", "Old"]
+
+
+def test_references():
+    p = page("<h2 id=normative>Normative</h2><dl><dt>[A]<dd><a href='https://a.example'>A</a><dt>[B]<dd>non-normative</dl><h2 id=informative>I</h2><dl><dt>[C]<dd>c</dl>")
+    assert m.references(p) == {"normative": [{"name": "A", "url": "https://a.example/"}], "informative": [{"name": "B"}, {"name": "C"}]}
+    p = page("<h2>9 References</h2><ul><li>[X] text <a href='https://x.example/'>X</a></ul>")
+    assert m.references(p) == {"normative": [{"name": "X", "url": "https://x.example/"}], "informative": []}
+    assert m.references(page("<p>none")) is None
+
+
+def test_code_blocks():
+    p = page("<pre class=idl>\n  interface A {\n    attribute long b;\n  };\n</pre><div class=note><pre class=idl>no</pre></div><pre class='idl exclude'>no</pre><pre><code class=idl>enum E {};</code></pre>")
+    assert m.idl(p) == "interface A {\n  attribute long b;\n};\n\nenum E {};"
+    p = page("<pre class='cddl' data-cddl-module='l,r'>a = 1</pre><pre class='cddl'>b = 2</pre>")
+    assert m.cddl(p) == [{"name": "all", "cddl": "a = 1\n\nb = 2"}, {"name": "l", "cddl": "a = 1\n\nb = 2"}, {"name": "r", "cddl": "a = 1\n\nb = 2"}]
+
+
+def test_definitions():
+    p = page("<h2 id=h>H</h2><dfn id=a data-dfn-type=method data-dfn-for='X, Y(a, b)' data-lt='f()|g()'>f</dfn><dfn id=b data-dfn-type=method data-dfn-for='Y(a, b),X' data-lt='g()|f()'>f</dfn><div class=note><dfn id=c>t</dfn></div><dfn id=d data-lt=''>no</dfn><dfn id=e data-dfn-type=nope>no</dfn><div class=domintro id=i><a href='#a'>f</a></div><dfn id=o><a href='https://o.example/'>o</a></dfn>")
+    got = m.dfns(p)
+    assert [d["id"] for d in got] == ["a", "c"]
+    assert got[0]["for"] == ["X", "Y(a, b)"] and got[0]["linkingText"] == ["f()", "g()"] and got[0]["access"] == "public" and got[0]["heading"]["title"] == "H" and got[0]["links"][0]["id"] == "i"
+    assert got[1]["informative"] and got[1]["access"] == "private" and got[1]["definedIn"] == "note"
+
+
+def test_elements_and_events():
+    p = page("<dfn id=e data-dfn-type=element>video</dfn><dfn data-dfn-type=interface>HTMLVideoElement</dfn>")
+    assert m.elements(p) == [{"name": "video", "href": "https://a.example/x/#e", "interface": "HTMLVideoElement"}]
+    p = page("<table><tr><th>Event name<th>Interface<th>Target<tr><td><dfn id=l data-dfn-type=event>load</dfn><td>Event<td>Window, Doc</table><table class=event-definition><tr><th>Type<td><b>go</b><tr><th>Bubbles<td>Yes</table><pre class=idl>interface A { attribute EventHandler onstop; };</pre>")
+    got = {e["type"]: e for e in m.events(p)}
+    assert got["load"]["interface"] == "Event" and got["load"]["targets"] == ["Window", "Doc"] and got["go"]["bubbles"] is True and got["stop"]["targets"] == ["A"]
+
+
+def test_algorithms():
+    p = page("<p>To <dfn id=r>run</dfn>:</p><ol><li>Let x be 1.<li>If so:<ol><li>Return x.</ol></ol><ol><li>apples</ol>")
+    got = m.algorithms(p)
+    assert len(got) == 1 and got[0]["name"] == "run" and got[0]["steps"][1]["steps"][0]["html"] == "Return x."
+
+
+def test_css():
+    html = "<table class=propdef><tr><th>Name:<td><dfn id=w>width</dfn><tr><th>Value:<td>auto | <a>&lt;length&gt;</a><tr><th>Initial:<td>−1</table><table class=propdef><tr><th>Name:<td>width<tr><th>New values:<td>fit</table>"
+    html += "<dfn data-dfn-type=at-rule id=r>@media</dfn><table class=descdef><tr><th>Name:<td>range<tr><th>For:<td>@media<tr><th>Value:<td>a</table><dfn data-dfn-type=type id=t>&lt;len&gt;</dfn><dfn data-dfn-type=value data-dfn-for='width, &lt;len&gt;' id=v>full</dfn><pre class=prod>&lt;len> = a | b\n&lt;lost> = c</pre>"
+    got = css(page(html))
+    assert got["properties"][0]["newValues"] == "fit" and got["properties"][0]["initial"] == "-1"
+    assert got["atrules"][0]["descriptors"][0]["name"] == "range"
+    assert got["values"][0]["value"] == "a | b" and got["values"][0]["values"][0]["name"] == "full"
+    assert [w["name"] for w in got["warnings"]] == ["<lost>"]
+
+
+def test_value_grammar():
+    assert parse_value("a b | c") == {"type": "oneOf", "items": [{"type": "array", "items": [{"type": "string", "content": "a"}, {"type": "string", "content": "b"}], "minItems": 2, "maxItems": 2}, {"type": "string", "content": "c"}]}
+    assert parse_value("<integer [1,∞]>#{2,4}") == {"type": "array", "items": {"type": "typedterminal", "name": "integer", "range": {"min": "1", "max": "∞"}}, "minItems": 2, "maxItems": 4, "separator": ","}
+    assert parse_value("[ a || b ]? && f( <x> )")["items"][1] == {"type": "function", "name": "f", "arguments": {"type": "typedterminal", "name": "x"}}
+    assert parse_value("a |b")["type"] == "oneOf" and parse_value("<'width'>+")["items"] == {"type": "propertyref", "name": "width"}
+    for bad in ("", "a |", "[ a", "f( a", "a ]"):
+        with pytest.raises(GrammarError):
+            parse_value(bad)
+
+
+IDL = """
+[Exposed=(Window,Worker), Global=Window] interface A : B { constructor(optional C c = {}); readonly attribute FrozenArray<D> d; const long X = 1; undefined f(DOMString s, E... es); undefined f(); iterable<F, (G or sequence<H>)>; static Promise<undefined> s(); stringifier; };
+partial dictionary P { required Q q; unsigned long long n = 5; };
+A includes M; interface mixin M { attribute any z; }; enum En { "x", "y" }; callback Cb = R (S s); typedef (T or DOMString)? U; namespace N {}; [Exposed=*] interface Z { getter any (unsigned long i); };
+"""
+
+
+def test_interface_definitions():
+    r = idl_report(IDL)
+    assert set(r.idl_names) == {"A", "M", "En", "Cb", "U", "N", "Z"} and set(r.extended) == {"P", "A"}
+    assert r.external == ["B", "C", "D", "E", "F", "G", "H", "P", "Q", "R", "S", "T"] and r.dependencies["A"][-1] == "M"
+    assert r.globals == {"Window": ["A"]} and r.constructors == {"Window": ["A"], "Worker": ["A"]} and r.functions == {"*": ["Z"]}
+    a = parse_idl(IDL)[0]["members"]
+    assert member_names(a[3], 0)[0] == "f!overload-0(s, es)" and "f(s, ...es)" in member_names(a[3], 0)
+    assert idl_report("interface A { attribute B[] x; };").has_obsolete
+    for bad in ("interface {", "interface A { long };", "nonsense", "enum A {"):
+        with pytest.raises(IdlError):
+            idl_report(bad)
+
+
+def test_tables(spark):
+    rows = [("https://a.example/", "a", None, "<title>T</title><h1 id=x>H</h1><pre class=idl>interface I {};</pre>"), ("https://b.example/", "b", "B", None)]
+    got = extract(spark.createDataFrame(rows, "url string, shortname string, title string, html string"), None, {"n": lambda p: len(p.html)})
+    assert [(r["title"], r["error"], r["n"]) for r in got.orderBy("url").collect()] == [("T", None, str(len(rows[0][3]))), ("B", None, "0")]
+    assert items(got, "headings").select("shortname", "title", "level").collect() == [("a", "H", 1)]
+    assert json.loads(idl_reports(got.where("idl <> ''")).first()["report"])["idl_names"]["I"]["type"] == "interface"
+    boom = extract(spark.createDataFrame(rows[:1], "url string, shortname string, title string, html string"), ["title"], {"bad": lambda p: 1 / 0}).first()
+    assert boom["error"].startswith("ZeroDivisionError") and boom["title"] is None
+    assert select_modules(["title", "core"])[0] == "title"
+    with pytest.raises(ValueError):
+        select_modules(["nope"])
