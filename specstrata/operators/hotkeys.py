@@ -54,19 +54,24 @@ def number_rows(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[Dat
 def key_states(rows: DataFrame, keys: list[str], sub: str, at: str, weight: str, flag: str) -> DataFrame:
     """Per key: summed weight, distinct non-null sub-keys, first and last time, any flag.
 
-    The work is split into chunks of equal size. Empty input, empty output.
+    The work is split into chunks of equal size. While it is, a 128-bit hash
+    stands for the key, whose texts are joined back once per key at the end.
+    Empty input, empty output.
     """
     spark = rows.sparkSession
+    hashed = ["_k1", "_k2"]
     states = rows.groupBy(*keys, sub).agg(F.sum(weight).alias("_w"), F.min(at).alias("_first"), F.max(at).alias("_last"), F.max(flag).alias("_flag"))
-    states = materialize(states.sortWithinPartitions(*keys, sub))
-    numbered, total = number_rows(states, keys, [sub])
+    states = states.withColumn("_k1", F.xxhash64(*keys)).withColumn("_k2", F.xxhash64(F.lit("k2"), *[F.reverse(k) for k in keys]))
+    states = materialize(states.sortWithinPartitions(*hashed, sub))
+    names = states.select(*hashed, *keys).distinct()
+    numbered, total = number_rows(states.drop(*keys), hashed, [sub])
     chunks = 2 * shuffle_partitions(spark)
     size = max(1, -(-total // chunks))
     chunked = numbered.withColumn("_chunk", F.floor(F.col("_n") / size).cast("int")).drop("_n")
     even = chunked.repartitionById(chunks, F.col("_chunk")) if hasattr(chunked, "repartitionById") else chunked.repartition(chunks, "_chunk")
     merge = [F.sum("_w").alias("_w"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_flag").alias("_flag")]
-    boundary = even.groupBy("_chunk", *keys).agg(F.count(sub).alias("_subs"), *merge)
-    return boundary.groupBy(*keys).agg(F.sum("_subs").alias("_subs"), *merge)
+    boundary = even.groupBy("_chunk", *hashed).agg(F.count(sub).alias("_subs"), *merge)
+    return boundary.groupBy(*hashed).agg(F.sum("_subs").alias("_subs"), *merge).join(names, hashed).drop(*hashed)
 
 
 def backref_rows(spark, sf_dir: str) -> DataFrame:
