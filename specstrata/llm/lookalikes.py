@@ -238,6 +238,7 @@ def same_looking_pairs(digested: DataFrame) -> DataFrame:
     Spellings are paired, not documents, so copies meet only the documents of
     other spellings they form pairs with.
     """
+    digested = materialize(digested)
     spellings = digested.select("form", "own").distinct()
     shared = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     kept = materialize(digested.distinct().join(shared, "form"))
