@@ -9,6 +9,7 @@ from specstrata.extract.table import extract, idl_reports, items
 from specstrata.functions import text
 from specstrata.functions.urls import plain_href
 from specstrata.operators import corpus, cssmerge, idlgraph, reports, series
+from specstrata.operators.idllinks import linked_parts
 from specstrata.plans.training import plain
 from specstrata.session import table
 
@@ -169,6 +170,13 @@ def ref_p1_properties(spark, sf_dir: str) -> DataFrame:
     return done.select("spec", "name", F.array_join("style_declaration", "|").alias("style_names"))
 
 
+def ref_p2_linked_names(spark, sf_dir: str) -> DataFrame:
+    """Names of interface definitions with the definition of the same spec, type and text they link to; crawled ids stand for texts."""
+    texts = table(spark, sf_dir, "idlnames").select(F.col("shortname").alias("spec"), F.col("fragment").alias("idl")).distinct()
+    known = table(spark, sf_dir, "idlnames").select(F.col("shortname").alias("spec"), F.array("idl_name").alias("linking_text"), F.when(F.col("idl_type") == "interface mixin", "interface").otherwise(F.col("idl_type")).alias("dfn_type"), F.array().cast("array<string>").alias("dfn_for"), F.concat(F.lit("#"), F.col("idl_no").cast("string")).alias("href")).distinct()
+    return linked_parts(texts, known).select("spec", "definition", "href")
+
+
 def ref_p3_annotated(spark, sf_dir: str) -> DataFrame:
     """The specs that back-references lead to, found by canonical URL."""
     links = table(spark, sf_dir, "backrefs").select(F.col("ref_url").alias("url"), "ref_shortname").where("url is not null").groupBy("url", "ref_shortname").agg(F.count("*").alias("n_links"))
@@ -264,6 +272,7 @@ ORACLE = {
         w AS (SELECT name, name AS root FROM n WHERE up IS NULL UNION ALL SELECT n.name, w.root FROM n JOIN w ON n.up = w.name)
         SELECT name, 'tree of ' || root AS tree, root AS interface FROM w""",
     "ref_p1_properties": f"SELECT DISTINCT spec, name, {_STYLE.format(c='name')} AS style_names FROM (SELECT shortname AS spec, unnest(linking_text) AS name FROM dfns WHERE dfn_type = 'property' AND NOT coalesce(informative, false)) WHERE name <> 'property-name' AND NOT starts_with(name, '--')",
+    "ref_p2_linked_names": "SELECT DISTINCT shortname AS spec, idl_name AS definition, '#' || idl_no AS href FROM idlnames WHERE fragment IS NOT NULL",
     "ref_p3_annotated": f"""
         WITH u AS (SELECT shortname, spec_no AS ord, unnest([url, nightly.url, release_url]) AS u FROM specs), c AS (SELECT {_CANON.format(c='u')} AS c, arg_min(shortname, ord) AS spec_shortname FROM u WHERE u IS NOT NULL GROUP BY 1)
         SELECT l.url, l.ref_shortname, l.n_links, c.spec_shortname FROM (SELECT ref_url AS url, ref_shortname, count(*) AS n_links FROM backrefs WHERE ref_url IS NOT NULL GROUP BY ALL) l LEFT JOIN c ON c.c = {_CANON.format(c='l.url')}""",
