@@ -210,8 +210,8 @@ def p6_fields(spark, sf_dir: str) -> DataFrame:
                         out.append((row_no, feed, seq, clean(item), clean(path), clean(leaf) if bit == 1 else None, float(leaf) if bit == 2 else None, leaf if bit == 4 else None, canonical(leaf) if bit == 8 else None, form))
             yield pd.DataFrame(out, columns=columns).astype({"val_flag": "boolean"})
 
-    rows = files.select("row_no", "feed", F.col("seq").cast("int").alias("seq"), "payload").where("row_no is not null and feed is not null").mapInPandas(
+    once = files.select("row_no", "feed", F.col("seq").cast("int").alias("seq"), "payload").where("row_no is not null and feed is not null").distinct()
+    rows = once.mapInPandas(
         scan, "row_no long, feed string, seq int, item string, path string, val_text string, val_number double, val_flag boolean, val_list string, val_text_form string"
     )
-    named = rows.join(names, ["feed", "path"], "left").withColumn("field_path", F.coalesce("canonical_path", "path")).drop("path", "canonical_path")
-    return named.distinct()
+    return rows.join(names, ["feed", "path"], "left").withColumn("field_path", F.coalesce("canonical_path", "path")).drop("path", "canonical_path")
