@@ -255,4 +255,4 @@ def p9_found(spark, sf_dir: str) -> DataFrame:
 
 def p9_forms(spark, sf_dir: str) -> DataFrame:
     """The consistent form of every text."""
-    return forms(table(spark, sf_dir, "documents")).distinct()
+    return forms(table(spark, sf_dir, "documents"))
