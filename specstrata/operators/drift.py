@@ -173,14 +173,25 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def canonical_names(changes: DataFrame) -> DataFrame:
-    """feed, path, canonical_path: every renamed field with the first name it had in its feed, chains followed to their start."""
-    links = materialize(changes.where("change_kind = 'renamed'").select("feed", F.col("field_path").alias("path"), F.col("old_path").alias("canonical_path")).groupBy("feed", "path").agg(F.min("canonical_path").alias("canonical_path")))
+    """feed, path, canonical_path: every renamed field with the first name it had in its feed.
+
+    Names that renames link, in either direction and over any number of steps,
+    are one field; its name is the one that was given up first. A field that
+    is renamed back is still that field. Labels only fall, so the rounds end,
+    after as many as the longest chain of renames of a feed.
+    """
+    links = changes.where("change_kind = 'renamed'").select("feed", "seq", F.col("old_path").alias("a"), F.col("field_path").alias("b"))
+    old = links.select("feed", F.col("a").alias("path"), F.struct("seq", F.lit(0).alias("new"), F.col("a").alias("name")).alias("label"))
+    new = links.select("feed", F.col("b").alias("path"), F.struct("seq", F.lit(1).alias("new"), F.col("b").alias("name")).alias("label"))
+    edges = materialize(links.select("feed", "a", "b").unionByName(links.select("feed", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialize(old.unionByName(new).groupBy("feed", "path").agg(F.min("label").alias("label")))
     while True:
-        up = links.select("feed", F.col("path").alias("canonical_path"), F.col("canonical_path").alias("further"))
-        joined = links.join(up, ["feed", "canonical_path"], "left").where("further is null or further <> path")
-        if joined.where("further is not null").isEmpty():
-            return links
-        links = materialize(joined.select("feed", "path", F.coalesce("further", "canonical_path").alias("canonical_path")))
+        offered = edges.join(labels.withColumnRenamed("path", "a"), ["feed", "a"]).groupBy("feed", F.col("b").alias("path")).agg(F.min("label").alias("offer"))
+        joined = labels.join(offered, ["feed", "path"], "left")
+        labels = materialize(joined.select("feed", "path", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("fell")))
+        if labels.where("fell").isEmpty():
+            return labels.select("feed", "path", F.col("label.name").alias("canonical_path")).where("path <> canonical_path")
+        labels = labels.drop("fell")
 
 
 def p6_fields(spark, sf_dir: str) -> DataFrame:

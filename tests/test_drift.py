@@ -34,9 +34,11 @@ def test_kinds_of_change(spark):
 
 
 def test_chains_of_names(spark):
-    rows = [("f", k, rec("a", **{n: "v"})) for k, n in ((1, "a1"), (2, "a2"), (3, "a3"))]
-    changes = drift(files(spark, rows))
-    assert sorted((r["path"], r["canonical_path"]) for r in canonical_names(changes).collect()) == [("a2", "a1"), ("a3", "a1")]
+    rows = [("f", k, rec("a", **{n: "v"})) for k, n in enumerate(("a1", "a2", "a3", "a1", "a2"))]
+    rows += [("g", k, rec("a", **{n: "v"})) for k, n in enumerate("zyz")]
+    got = sorted((r["feed"], r["path"], r["canonical_path"]) for r in canonical_names(drift(files(spark, rows))).collect())
+    assert got == [("f", "a2", "a1"), ("f", "a3", "a1"), ("g", "y", "z")]
+    assert canonical_names(drift(files(spark, rows[:1]))).count() == 0
 
 
 def test_whole_table_against_brute_force(spark, data):
