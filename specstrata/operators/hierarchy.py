@@ -7,7 +7,9 @@ lists of arcs, two per node, ranked in parallel by pointer jumping: as many
 rounds as the longest tour has binary digits. A tour of a component with a
 cycle never ends, so its arcs are the ones without a rank. Ranks give entry
 and exit of each node, the balance of arcs its depth, and a scan over equal
-stretches of the tours, each with the nodes open at its start, the paths.
+stretches of the tours, each with the nodes open at its start, the paths. The
+paths give each node's descendants; below nodes without an end, where there is
+no tour, they come from the closure of the links by doubled steps.
 """
 
 from __future__ import annotations
@@ -119,6 +121,21 @@ def unfold(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         layers, base = layers.unionByName(layer), top + 1
 
 
+def closure(links: DataFrame) -> DataFrame:
+    """All v and above of links (v, parent), cycles included, in as many rounds as the longest way without a repeat has binary digits."""
+    pairs = jumps = materialize(links.select("v", F.col("parent").alias("above")).distinct())
+    n = pairs.count()
+    while n:
+        step = jumps.select("v", F.col("above").alias("mid"))
+        wider = materialize(pairs.unionByName(step.join(pairs.withColumnRenamed("v", "mid"), "mid").select("v", "above")).distinct())
+        m = wider.count()
+        if m == n:
+            break
+        jumps = materialize(step.join(jumps.withColumnRenamed("v", "mid"), "mid").select("v", "above").distinct())
+        pairs, n = wider, m
+    return pairs
+
+
 def heading_parents(headings: DataFrame, part_rows: int = 100_000) -> DataFrame:
     """v and parent of headings: the nearest earlier row by pos of the page with a smaller level.
 
@@ -208,8 +225,8 @@ def idl_links(idlnames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows.select("v").distinct(), inherits, includes
 
 
-def crawl_forest(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One forest of all three hierarchies (v, parent, label, kind) and the nodes of includes that hang on a cycle."""
+def crawl_forest(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One forest of all three hierarchies (v, parent, label, kind), the nodes of includes that hang on a cycle, and the links of includes (v, parent)."""
     nodes, inherits, includes = idl_links(table(spark, sf_dir, "idlnames"))
     edges = materialize(includes)
     ends = materialize(peel(nodes, edges))
@@ -221,7 +238,7 @@ def crawl_forest(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         return df.select((F.col(v) * 4 + code).alias("v"), (F.col(parent) * 4 + code).alias("parent"), F.col(label).alias("label"), F.lit(code).alias("kind"))
 
     single = nodes.join(inherits, "v", "left")
-    return materialize(forest(single, "inheritance").unionByName(forest(heading_parents(table(spark, sf_dir, "headings")), "headings")).unionByName(forest(ways, "includes", "way", "above"))), looped
+    return materialize(forest(single, "inheritance").unionByName(forest(heading_parents(table(spark, sf_dir, "headings")), "headings")).unionByName(forest(ways, "includes", "way", "above"))), looped, edges
 
 
 def _kind_name():
@@ -230,7 +247,7 @@ def _kind_name():
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    forest, looped = crawl_forest(spark, sf_dir)
+    forest, looped, _ = crawl_forest(spark, sf_dir)
     intervals = materialize(euler_intervals(forest.select("v", "parent")).join(forest.select("v", "label", "kind"), "v"))
     paths = tour_paths(intervals.where("root is not null")).join(intervals.select("v", "label", "kind"), "v")
     good = paths.select(_kind_name(), F.col("label").alias("node_id"), F.col("path").alias("node_path"))
@@ -238,9 +255,48 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return good.unionByName(endless).unionByName(looped.select(F.lit("includes").alias("hierarchy"), F.col("v").alias("node_id"), F.lit("cycle").alias("node_path")))
 
 
+def _descendants(forest: DataFrame, looped: DataFrame, edges: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Pairs (kind, ancestor_id, descendant_id), each once; a node on a cycle is among its own descendants.
+
+    A descendant all of whose ways up end has only such ancestors, which its
+    paths name. What is above any other node is the closure of the links
+    between endless nodes, and what is above the ended nodes they lead to.
+    """
+    paths = tour_paths(intervals.where("root is not null")).join(intervals.where("depth > 0").select("v", "label", "kind", "depth"), "v")
+    above = paths.select("label", "kind", F.explode(F.slice(F.split("path", "/"), 1, F.col("depth").cast("int")).cast("array<long>")).alias("above"))
+    ended = materialize(above.select((F.col("above") * 4 + F.col("kind")).alias("above"), (F.col("label") * 4 + F.col("kind")).alias("v")).distinct())
+
+    code = KINDS["includes"]
+    endless = materialize(intervals.where("root is null").select("v").unionByName(looped.select((F.col("v") * 4 + code).alias("v"))))
+    links = forest.where((F.col("kind") != code) & F.col("parent").isNotNull()).select("v", "parent").unionByName(edges.select((F.col("v") * 4 + code).alias("v"), (F.col("parent") * 4 + code).alias("parent")))
+    links, ends = links.join(endless, "v", "left_semi"), endless.select(F.col("v").alias("parent"))
+    within, leaving = closure(links.join(ends, "parent", "left_semi")), links.join(ends, "parent", "left_anti")
+    left = leaving.select("v", F.col("parent").alias("above"))
+    left = left.unionByName(within.join(leaving.withColumnRenamed("v", "above"), "above").select("v", F.col("parent").alias("above")))
+    further = left.withColumnRenamed("above", "mid").join(ended.withColumnRenamed("v", "mid"), "mid").select("v", "above")
+    pairs = ended.unionByName(within).unionByName(left.unionByName(further).distinct())
+    return pairs.select((F.col("v") % 4).cast("int").alias("kind"), F.shiftright("above", 2).alias("ancestor_id"), F.shiftright("v", 2).alias("descendant_id"))
+
+
+def p5_descendants(spark, sf_dir: str) -> DataFrame:
+    """Every node with each of its descendants, once however many ways lead from one to the other; a node on a cycle descends from itself."""
+    forest, looped, edges = crawl_forest(spark, sf_dir)
+    intervals = materialize(euler_intervals(forest.select("v", "parent")).join(forest.select("v", "label", "kind"), "v"))
+    return _descendants(forest, looped, edges, intervals).select(_kind_name(), "ancestor_id", "descendant_id")
+
+
 def p5_nodes(spark, sf_dir: str) -> DataFrame:
-    """Depth, root and number of descendants of every node on each of its ways, from the intervals of the Euler tours."""
-    forest, _ = crawl_forest(spark, sf_dir)
-    intervals = euler_intervals(forest.select("v", "parent")).join(forest.select("v", "label", "kind"), "v").where("root is not null")
+    """Root, depth and interval of every node on each of its ways (way_id), and its number of distinct descendants.
+
+    Within a hierarchy and root, what is below a row are the rows with entry
+    and exit between its own. A node with a way up that never ends gets one
+    row with is_endless, and neither way nor root, depth and interval.
+    """
+    forest, looped, edges = crawl_forest(spark, sf_dir)
+    intervals = materialize(euler_intervals(forest.select("v", "parent")).join(forest.select("v", "label", "kind"), "v"))
+    numbers = _descendants(forest, looped, edges, intervals).groupBy("kind", F.col("ancestor_id").alias("label")).agg(F.count("*").alias("n"))
     roots = forest.where("parent is null").select(F.col("v").alias("root"), F.col("label").alias("root_id"))
-    return intervals.join(roots, "root").select(_kind_name(), F.col("label").alias("node_id"), "root_id", F.col("depth"), ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("n_descendants"))
+    whole = intervals.where("root is not null").join(roots, "root").select("kind", "label", F.shiftright("v", 2).alias("way_id"), "root_id", "depth", "entry", "exit", F.lit(False).alias("is_endless"))
+    ends = intervals.where("root is null").select("kind", "label").unionByName(looped.select(F.lit(KINDS["includes"]).alias("kind"), F.col("v").alias("label"))).withColumn("is_endless", F.lit(True))
+    rows = whole.unionByName(ends, allowMissingColumns=True).join(numbers, ["kind", "label"], "left")
+    return rows.select(_kind_name(), F.col("label").alias("node_id"), "way_id", "root_id", "depth", "entry", "exit", F.coalesce("n", F.lit(0)).alias("n_descendants"), "is_endless")

@@ -9,7 +9,7 @@ QUERIES = {
     "p2_hot_keys": hotkeys.p2_hot_keys,
     "p3_found": snapshots.p3_found, "p3_counts": snapshots.p3_counts,
     "p4_found": nested.p4_found, "p4_tables": nested.p4_tables, "p4_definitions": nested.p4_definitions,
-    "p5_found": hierarchy.p5_found, "p5_nodes": hierarchy.p5_nodes,
+    "p5_found": hierarchy.p5_found, "p5_nodes": hierarchy.p5_nodes, "p5_descendants": hierarchy.p5_descendants,
     "p6_found": drift.p6_found, "p6_fields": drift.p6_fields,
 }
 
@@ -108,4 +108,5 @@ ORACLE = {
     "p3_counts": P3_BASE + "SELECT snapshot_no, change_kind, count(*) AS n_records FROM f GROUP BY ALL",
     "p4_found": P4_SQL,
     "p5_found": P5_BASE + "SELECT k AS hierarchy, v AS node_id, path AS node_path FROM w ANTI JOIN bad USING (k, v) UNION ALL SELECT k, v, 'cycle' FROM bad",
+    "p5_descendants": P5_BASE + "SELECT DISTINCT k AS hierarchy, u AS ancestor_id, v AS descendant_id FROM up",
 }

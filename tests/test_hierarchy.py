@@ -77,3 +77,29 @@ def test_heading_parents(spark):
         got = {r["v"]: None if r["parent"] is None else pos_of[r["parent"]] for r in H.heading_parents(df, part).collect()}
         assert got == want
     assert H.heading_parents(df.limit(0)).count() == 0
+
+
+def test_descendants_and_nodes_of_all_kinds(spark, tmp_path):
+    names = [(i, f"n{i}") for i in range(1, 12)]
+    ups = {2: "n1", 3: " n2 ", 4: "n4", 5: "n4", 6: "n5", 7: "n8", 8: "n7", 9: "none"}
+    adds = {2: ["n1"], 3: ["n1"], 4: ["n2", "n3", "n2"], 6: ["n7", "n4"], 7: ["n6"], 8: ["n6", "n10"], 9: ["n4"], 11: ["n11"]}
+    spark.createDataFrame([(i, n, ups.get(i), adds.get(i)) for i, n in names], "idl_no long, idl_name string, inheritance string, includes array<string>").write.parquet(f"{tmp_path}/idlnames.parquet")
+    spark.createDataFrame([(1, "p", 1, 1), (2, "p", 2, 2), (3, "p", 3, 3), (4, "p", 4, 2), (5, "q", 1, 2)], "heading_no long, page_url string, pos int, level_no int").write.parquet(f"{tmp_path}/headings.parquet")
+    no = {n: i for i, n in names}
+    links = [("inheritance", v, no[u.strip()]) for v, u in ups.items() if u.strip() in no] + [("includes", v, no[u]) for v, us in adds.items() for u in us] + [("headings", 2, 1), ("headings", 3, 2), ("headings", 4, 1)]
+    want = {(k, p, v) for k, v, p in links}
+    while more := {(k, a, d) for k, a, m in want for j, n, d in want if (k, m) == (j, n)} - want:
+        want |= more
+    pairs = [tuple(r) for r in H.p5_descendants(spark, str(tmp_path)).collect()]
+    assert sorted(pairs) == sorted(want)
+
+    rows = H.p5_nodes(spark, str(tmp_path)).collect()
+    assert all(r["n_descendants"] == sum(k == r["hierarchy"] and a == r["node_id"] for k, a, _ in want) for r in rows)
+    endless = sorted((r["hierarchy"], r["node_id"], r["way_id"], r["root_id"], r["depth"], r["entry"], r["exit"]) for r in rows if r["is_endless"])
+    assert endless == [(k, v, *[None] * 5) for k, vs in (("includes", (6, 7, 8, 11)), ("inheritance", (4, 5, 6, 7, 8))) for v in vs]
+    whole = [r for r in rows if not r["is_endless"]]
+    assert len({(r["hierarchy"], r["way_id"]) for r in whole}) == len(whole)
+    assert sorted(r["depth"] for r in whole if r["hierarchy"] == "includes" and r["node_id"] in (4, 9)) == [2, 2, 3, 3]
+    inside = {(a["hierarchy"], a["node_id"], b["node_id"]) for a in whole for b in whole if (a["hierarchy"], a["root_id"]) == (b["hierarchy"], b["root_id"]) and a["entry"] < b["entry"] and b["exit"] < a["exit"]}
+    ended = {(r["hierarchy"], r["node_id"]) for r in whole}
+    assert inside == {p for p in want if (p[0], p[2]) in ended}
