@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity with items.
 
-Hierarchical multi-length packing on the histogram of sizes, which is at most
-as long as the capacity, whatever the number of items: sizes are routed to
-tiers by halving the capacity, containers are opened for the longest tier
-first and their gaps filled from the same and the shorter tiers, and the
-resulting patterns are repeated as often as the histogram allows. Items then
+Greedy decreasing packing on the histogram of sizes, which is at most as long
+as the capacity, whatever the number of items: a container takes the largest
+size that still fits, again and again, and the resulting patterns are repeated
+as often as the histogram allows. Every container has the full capacity; the
+tiers of sizes only speed up the search. It stands in for packing each of
+several context lengths into windows of its own. Items then
 find their place by their rank within their size, without meeting in a task.
 Step groups get containers in turn, forth and back in order of cost.
 """
