@@ -33,6 +33,8 @@ CRAWL_FIELDS = {
     ("dfns", "heading"): "single", ("dfns", "linkingText"): "repeated", ("dfns", "links"): "repeated", ("links", "heading"): "single", ("refs", "informative"): "repeated", ("refs", "normative"): "repeated",
 }
 ALIASES = {"results": ROOT}
+#: Elements the crawl format names; however many fields they have, these are fields and never entries.
+DECLARED = {element for element, _ in CRAWL_FIELDS} | {ALIASES.get(name, name) for _, name in CRAWL_FIELDS}
 
 
 @dataclass
@@ -87,7 +89,7 @@ def _edges(payloads: Iterable[str | None]) -> dict[tuple[str, str], str]:
             if isinstance(value, str) and value[:1] in "{[ \n\t\r" and (held := held_json(value)) is not UNREADABLE and (element, name) in found and found[element, name] != "scalar":
                 value = held
             how = "repeated" if isinstance(value, list) else "single" if isinstance(value, dict) else "scalar"
-            at = (element, name) if width[element] < MANY_KEYS else (element, "*")
+            at = (element, name) if width[element] < MANY_KEYS or element in DECLARED else (element, "*")
             if at not in found:
                 width[element] += 1
                 found[at] = how
@@ -110,10 +112,12 @@ def schema_graph(df: DataFrame, payload: str) -> Graph:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = _edges(pdf[payload])
+            plain = {k[0]: k for k, how in found.items() if how == "scalar" and k[0] in DECLARED}  # one will do: fields not listed are scalar
+            found = {k: how for k, how in found.items() if how != "scalar" or plain.get(k[0], k) == k}
             yield pd.DataFrame([(clean(k[0]), clean(k[1]), how) for k, how in found.items()], columns=["element", "name", "how"])
 
     rows = df.select(payload).mapInPandas(scan, "element string, name string, how string").distinct()
-    wide = [r["element"] for r in rows.groupBy("element").count().where(F.col("count") > 3 * MANY_KEYS).select("element").collect()]
+    wide = [r["element"] for r in rows.where(~F.col("element").isin(*DECLARED)).groupBy("element").count().where(F.col("count") > 3 * MANY_KEYS).select("element").collect()]
     rank = {"scalar": 0, "single": 1, "repeated": 2}
     graph = Graph({}, entries=set(wide))
     for r in rows.where(~F.col("element").isin(wide)).collect():  # as many as the schema has fields
@@ -125,15 +129,17 @@ def schema_graph(df: DataFrame, payload: str) -> Graph:
     return graph.plan()
 
 
-ROWS = "rec_id long, table_name string, row_key string, parent_table string, parent_key string, pos int, texts map<string,string>, others map<string,string>"
+ROWS = "rec_id long, table_name string, row_key string, parent_table string, parent_key string, pos int, texts map<string,string>, others map<string,string>, field_path string"
 
 
 def shred_payload(text: str | None, graph: Graph) -> Iterator[tuple]:
-    """The rows of one payload: table, row key, parent table, parent key, position, text fields, other scalar fields.
+    """The rows of one payload: table, row key, parent table, parent key, position, text fields, other scalar fields, field path.
 
     Keys are the zero-based places on the way, null items counted. A value
     alone where an array belongs is an array of one; a string that holds a
-    JSON object or array where one belongs is that.
+    JSON object or array where one belongs is that. The field path holds the
+    names on the way from the spec row (from the root outside of one), joined
+    by "/" and escaped as in a JSON pointer, whatever elements have tables.
     """
     root = root_of(read_json(text))
     if root is None:
@@ -151,7 +157,7 @@ def shred_payload(text: str | None, graph: Graph) -> Iterator[tuple]:
             value = held
         return value if isinstance(value, list) else [] if value is None else [value]
 
-    def fill(element: str, obj: dict, owner: str, key: str, prefix: str, texts: dict, others: dict) -> None:
+    def fill(element: str, obj: dict, owner: str, key: str, prefix: str, texts: dict, others: dict, path: str) -> None:
         for name, value in obj.items():
             how = "repeated" if element in graph.entries else graph.fields.get((element, name), "scalar")
             child = element + "_entry" if element in graph.entries else ALIASES.get(name, name)
@@ -159,6 +165,8 @@ def shred_payload(text: str | None, graph: Graph) -> Iterator[tuple]:
                 put(texts, others, prefix + name, value)
                 continue
             many = how == "repeated"
+            step = name.replace("~", "~0").replace("/", "~1")
+            at = "" if kind == WRAPPER and path == "/" and name == "results" else f"{path.rstrip('/')}/{step}" if path else step
             for pos, x in enumerate(items(value)):
                 if isinstance(x, str) and not (many and child not in below) and (held := held_json(x)) is not UNREADABLE:
                     x = held
@@ -166,26 +174,26 @@ def shred_payload(text: str | None, graph: Graph) -> Iterator[tuple]:
                 if x is None:
                     continue
                 if many or child in graph.tables:
-                    add(child, x, place, owner, key, pos if many else 0, name if element in graph.entries else None)
+                    add(child, x, place, owner, key, pos if many else 0, name if element in graph.entries else None, at)
                 elif isinstance(x, dict):
-                    fill(child, x, owner, key, prefix + name + ".", texts, others)
+                    fill(child, x, owner, key, prefix + name + ".", texts, others, at)
                 else:
                     put(texts, others, prefix + name, x)
 
-    def add(element: str, value: Any, key: str, parent: str | None, parent_key: str | None, pos: int, entry: str | None = None) -> None:
+    def add(element: str, value: Any, key: str, parent: str | None, parent_key: str | None, pos: int, entry: str | None, path: str) -> None:
         texts: dict[str, str] = {}
         others: dict[str, str] = {}
         if entry is not None:
             texts["key"] = clean(entry)
-        out.append((element, key, parent, parent_key, pos, texts, others))
+        out.append((element, key, parent, parent_key, pos, texts, others, clean(path)))
         if isinstance(value, dict):
-            fill(element, value, element, key, "", texts, others)
+            fill(element, value, element, key, "", texts, others, path)
         else:
             put(texts, others, "value", value)
 
     below = {e for e, _ in graph.fields}
     kind, value = root
-    add(kind, value, "0" if kind == ROOT else "", None, None, 0)
+    add(kind, value, "0" if kind == ROOT else "", None, None, 0, None, "" if kind == ROOT else "/")
     yield from out
 
 
@@ -213,8 +221,8 @@ def flat_table(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return rows.where(F.col("table_name") == name).select("rec_id", "row_key", "parent_table", "parent_key", "pos", *wanted).distinct()
 
 
-#: child of p4_found -> table, parent table and text field.
-FOUND = {"page": ("pages", "spec", "value"), "heading": ("heading", "dfns", "href"), "text": ("linkingText", "dfns", "value"), "ref": ("informative", "spec", "url")}
+#: child of p4_found -> table, field path and text field.
+FOUND = {"page": ("pages", "nightly/pages", "value"), "heading": ("heading", "dfns/heading", "href"), "text": ("linkingText", "dfns/linkingText", "value"), "ref": ("informative", "refs/informative", "url")}
 
 
 def _shredded(spark, sf_dir: str, tables: set[str] | None) -> DataFrame:
@@ -225,8 +233,8 @@ def _shredded(spark, sf_dir: str, tables: set[str] | None) -> DataFrame:
 def p4_found(spark, sf_dir: str) -> DataFrame:
     rows = _shredded(spark, sf_dir, {t for t, _, _ in FOUND.values()})
     child, val = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, (t, parent, field_name) in FOUND.items():
-        of = (F.col("table_name") == t) & (F.col("parent_table") == parent)
+    for name, (t, path, field_name) in FOUND.items():
+        of = (F.col("table_name") == t) & (F.col("field_path") == path)
         child, val = F.when(of, F.lit(name)).otherwise(child), F.when(of, F.col("texts")[field_name]).otherwise(val)
     return rows.select("rec_id", child.alias("child"), F.col("row_key").alias("item_path"), val.alias("val")).where("child is not null and val is not null").distinct()
 

@@ -43,3 +43,11 @@ def test_names_that_are_data_become_entries():
     graph = Graph({("spec", "map"): "single"}, entries={"map"}).plan()
     rows = list(shred_payload(json.dumps({"map": {"a": {"x": 1}, "b": 2}}), graph))
     assert sorted((r[0], r[5].get("key")) for r in rows if r[0] == "map_entry") == [("map_entry", "a"), ("map_entry", "b")]
+
+
+def test_found_goes_by_path_whatever_else_the_data_hold(spark, tmp_path):
+    spec = {"nightly": {"pages": ["p"]}, "refs": {"informative": [{"url": "u"}]}, "dfns": [{"linkingText": ["t"], "heading": {"href": "h"}}]}
+    other = {"x": {"nightly": {"pages": ["no"]}, "refs": {"informative": [{"url": "no"}]}, "dfns": [{"heading": {"href": "no"}}]}, "nightly/pages": ["no"], "dfns": [{f"k{i}": i for i in range(nested.MANY_KEYS + 5)} | {"linkingText": ["w"], "heading": {f"k{i}": i for i in range(1000)} | {"href": "wide"}}]}
+    got = found(spark, tmp_path, [json.dumps(spec), json.dumps(other), json.dumps({"results": [spec], "y": {"refs": {"informative": [{"url": "no"}]}}})])
+    one = [("heading", "0/0", "h"), ("page", "0/0", "p"), ("ref", "0/0", "u"), ("text", "0/0/0", "t")]
+    assert got == sorted([(i, *r) for i in (0, 2) for r in one] + [(1, "heading", "0/0", "wide"), (1, "text", "0/0/0", "w")])
