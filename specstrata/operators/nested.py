@@ -239,6 +239,13 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", child.alias("child"), F.col("row_key").alias("item_path"), val.alias("val")).where("child is not null and val is not null").distinct()
 
 
+def p4_rows(spark, sf_dir: str) -> DataFrame:
+    """The rows of all flat tables with their columns, each tied to its record, place and parent row; copies count once."""
+    maps = ["texts", "others"]
+    rows = _shredded(spark, sf_dir, None).withColumns({m: F.array_sort(F.map_entries(m)) for m in maps}).distinct()
+    return rows.withColumns({m: F.map_from_entries(m) for m in maps})
+
+
 def p4_tables(spark, sf_dir: str) -> DataFrame:
     """Rows, text fields and distinct parents of every flat table of crawl_results."""
     rows = _shredded(spark, sf_dir, None).select("table_name", "parent_table", "rec_id", "row_key", "parent_key", F.size("texts").alias("n")).distinct()

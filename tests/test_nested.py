@@ -51,3 +51,15 @@ def test_found_goes_by_path_whatever_else_the_data_hold(spark, tmp_path):
     got = found(spark, tmp_path, [json.dumps(spec), json.dumps(other), json.dumps({"results": [spec], "y": {"refs": {"informative": [{"url": "no"}]}}})])
     one = [("heading", "0/0", "h"), ("page", "0/0", "p"), ("ref", "0/0", "u"), ("text", "0/0/0", "t")]
     assert got == sorted([(i, *r) for i in (0, 2) for r in one] + [(1, "heading", "0/0", "wide"), (1, "text", "0/0/0", "w")])
+
+
+def test_rows_of_all_tables_join_to_their_parents(spark, tmp_path):
+    spec = {"nightly": {"pages": ["p", "q"]}, "dfns": [{"id": "d", "heading": {"href": "h", "title": "t"}, "links": [{"heading": {"href": "l"}}]}], "refs": {"normative": [{"url": "n"}], "informative": [{"name": "i", "n": 1}]}}
+    text = json.dumps(spec)
+    spark.createDataFrame([(1, text, 1), (1, text, 2)], "rec_id long, payload string, x int").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    rows = nested.p4_rows(spark, str(tmp_path)).collect()
+    got = sorted((r["table_name"], r["row_key"], r["parent_table"] or "", r["parent_key"] or "", r["pos"], *sorted((r["texts"] | r["others"]).items())) for r in rows)
+    assert got == [
+        ("dfns", "0/0", "spec", "0", 0, ("id", "d")), ("heading", "0/0", "dfns", "0/0", 0, ("href", "h"), ("title", "t")), ("heading", "0/0/0", "links", "0/0/0", 0, ("href", "l")), ("informative", "0/0", "spec", "0", 0, ("n", "1"), ("name", "i")),
+        ("links", "0/0/0", "dfns", "0/0", 0), ("normative", "0/0", "spec", "0", 0, ("url", "n")), ("pages", "0/0", "spec", "0", 0, ("value", "p")), ("pages", "0/1", "spec", "0", 1, ("value", "q")), ("spec", "0", "", "", 0),
+    ]
