@@ -4,8 +4,9 @@ Every row becomes a compact record: two 64-bit key hashes, a row hash and its
 time. The records are reduced to one per key and snapshot (map-side combined),
 dealt into hash buckets, and each bucket is compared in numpy: key arrays are
 sorted and searched with ``searchsorted`` for keys on one side only, and row
-hashes are compared for keys on both. Only the keys that differ are joined
-back to the table for their full values.
+hashes are compared for keys on both. The keys that differ are joined back to
+the table: p3_changes reads the fields of these records only, before and after;
+p3_found reads the spelled key of every record.
 
 The number of buckets follows the number of rows, so a bucket stays small at
 any size, and a key with very many rows in a snapshot is reduced before it is
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specstrata.functions.urls import moment, plain_href
-from specstrata.session import shuffle_partitions, table
+from specstrata.session import materialize, shuffle_partitions, table
 
 _NULL = "\x00"
 
@@ -114,6 +115,26 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
     return differing.join(values, ["source_no", "k1", "k2"]).select("snapshot_no", "href", "change_kind")
 
 
+FIELDS = ["linking_text", "dfn_type", "dfn_for", "access_mode", "informative", "heading_href", "crawled", "last_modified", "crawled_at", "loaded_at"]
+
+
+def p3_changes(spark, sf_dir: str) -> DataFrame:
+    """The records added, removed and changed with their fields as delivered before and after (null where there is no record)."""
+    snapshots = table(spark, sf_dir, "dfn_snapshots")
+    differing, keyed = changed_keys(snapshots)
+    numbers = sorted(r[0] for r in snapshots.select("snapshot_no").distinct().collect() if r[0] is not None)
+    earlier = F.create_map(*[F.lit(n).cast("int") for pair in zip(numbers[1:], numbers) for n in pair]) if len(numbers) > 1 else F.lit(None).cast("map<int,int>")
+    differing = materialize(differing.select("snapshot_no", "k1", "k2", "change_kind", earlier[F.col("snapshot_no")].alias("before_no")))
+    sides = F.explode(F.array(F.struct(F.col("before_no").alias("source_no"), F.lit(False).alias("after")), F.struct(F.col("snapshot_no").alias("source_no"), F.lit(True).alias("after"))))
+    wanted = differing.select("snapshot_no", "k1", "k2", "change_kind", sides.alias("s")).select("snapshot_no", "k1", "k2", "change_kind", "s.source_no", "s.after")
+    # the row that holds is the one whose hash was compared
+    low = F.lit(-(1 << 62))
+    content = F.struct(F.coalesce(F.unix_micros("crawled_at"), low).alias("t"), F.coalesce(F.unix_micros("loaded_at"), low).alias("l"), F.xxhash64(*snapshot_content()).alias("h"), F.struct("href", "shortname", *FIELDS).alias("row"))
+    rows = keyed.select(F.col("snapshot_no").cast("int").alias("source_no"), "k1", "k2", "_key", content.alias("_s"))
+    both = rows.join(wanted, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href"), F.max(F.when(~F.col("after"), F.col("_s"))).alias("b"), F.max(F.when(F.col("after"), F.col("_s"))).alias("a"))
+    return both.select("snapshot_no", "href", "change_kind", F.col("b.row").alias("before"), F.col("a.row").alias("after"))
+
+
 def p3_counts(spark, sf_dir: str) -> DataFrame:
     """Number of definitions added, removed and changed per snapshot."""
     differing, _ = changed_keys(table(spark, sf_dir, "dfn_snapshots"))

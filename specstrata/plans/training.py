@@ -7,7 +7,7 @@ from specstrata.operators import drift, hierarchy, hotkeys, nested, orphans, sna
 QUERIES = {
     "p1_found": orphans.p1_found, "p1_counts": orphans.p1_counts,
     "p2_hot_keys": hotkeys.p2_hot_keys,
-    "p3_found": snapshots.p3_found, "p3_counts": snapshots.p3_counts,
+    "p3_found": snapshots.p3_found, "p3_counts": snapshots.p3_counts, "p3_changes": snapshots.p3_changes,
     "p4_found": nested.p4_found, "p4_tables": nested.p4_tables, "p4_rows": nested.p4_rows, "p4_definitions": nested.p4_definitions,
     "p5_found": hierarchy.p5_found, "p5_nodes": hierarchy.p5_nodes, "p5_descendants": hierarchy.p5_descendants,
     "p6_found": drift.p6_found, "p6_fields": drift.p6_fields,

@@ -2,7 +2,7 @@ from datetime import date, datetime
 
 import numpy as np
 
-from specstrata.operators.snapshots import _differ, p3_found
+from specstrata.operators.snapshots import _differ, p3_changes, p3_found
 
 SCHEMA = "snapshot_no int, snapshot_on date, shortname string, href string, linking_text array<string>, dfn_type string, dfn_for array<string>, access_mode string, informative boolean, heading_href string, crawled string, last_modified string, crawled_at timestamp, loaded_at timestamp, k1 int, h string, _key string"
 DAY = date(2024, 1, 1)
@@ -39,3 +39,12 @@ def test_differ():
     right = np.array([(-5, 0), (2, 2), (3, -1), (3, 0)], kind), np.array([0, 9, 3, 4])
     added, removed, changed = _differ(left, right)
     assert (added.tolist(), removed.tolist(), changed.tolist()) == ([0, 3], [0], [1])
+
+
+def test_fields_before_and_after(spark, tmp_path):
+    rows = [row(1, "https://a/#gone", kind="g"), row(2, "https://a/#new", kind="n"), row(1, "https://a/#k", kind="old", at=1), row(1, "https://a/#k", kind="x", at=2), row(2, "https://A/#%6b", kind="y", text=("b",)), row(3, "https://a/#new", kind="n"), row(3, "https://a/#k", kind="y", text=("b",)), row(1, "https://a/#same"), row(2, "https://a/#same"), row(3, "https://a/#same")]
+    spark.createDataFrame(rows, SCHEMA).drop("k1", "h", "_key").write.parquet(f"{tmp_path}/dfn_snapshots.parquet")
+    got = {(r["snapshot_no"], r["href"], r["change_kind"]): tuple(x and (x["dfn_type"], x["linking_text"]) for x in (r["before"], r["after"])) for r in p3_changes(spark, str(tmp_path)).collect()}
+    assert got == {(2, "https://a/#gone", "removed"): (("g", ["a"]), None), (2, "https://a/#new", "added"): (None, ("n", ["a"])), (2, "https://a/#k", "changed"): (("x", ["a"]), ("y", ["b"]))}
+    spark.createDataFrame([row(1, "https://a/#k")], SCHEMA).drop("k1", "h", "_key").write.mode("overwrite").parquet(f"{tmp_path}/dfn_snapshots.parquet")
+    assert p3_changes(spark, str(tmp_path)).count() == 0
