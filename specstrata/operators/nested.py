@@ -1,16 +1,19 @@
 """Nested records to related flat tables, by shared inlining.
 
-A pass over the payloads collects the schema graph (element types and how they
-are reached), which is as large as the schema, not as the data. Elements that
-occur once below one parent are inlined as columns of that parent; repeated,
-shared and recursive elements get tables. One further pass shreds every
-payload into rows of these tables, each with the record, its own place, and
-the table and place of its parent as foreign key.
+A pass over the payloads collects the schema graph: element types and the
+fields by which they hold other elements. The driver walks it from the roots,
+so it sees as much as the schema has and never what data put into names.
+Elements that occur once below one parent are inlined as columns of that
+parent; repeated, shared and recursive elements get tables. One further pass
+shreds every payload into rows of these tables, each with the record, its own
+place, and the table and place of its parent as foreign key.
+
+Every walk through a record keeps its own stack, so nesting may be as deep as
+memory allows.
 """
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -20,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specstrata.functions.jsontext import UNREADABLE, clean, held_json, read_json
-from specstrata.session import table
+from specstrata.functions.jsontext import UNREADABLE, clean, held_json, read_json, write_json
+from specstrata.session import materialize, table
 
 ROOT = "spec"
 WRAPPER = "crawl"
-MANY_KEYS = 300  # an element with more distinct field names holds data in its names and becomes a table of entries
+#: An undeclared element with more distinct fields than this that hold elements, over all data, has data for names: it becomes a table of entries.
+#: A declared element never does; if it has so many, only its declared fields are elements and its other fields stay JSON texts of the row.
+MANY_KEYS = 1000
 
 #: What the crawl format says of its own fields: (element, field) -> repeated or single.
 CRAWL_FIELDS = {
@@ -35,13 +40,21 @@ CRAWL_FIELDS = {
 ALIASES = {"results": ROOT}
 #: Elements the crawl format names; however many fields they have, these are fields and never entries.
 DECLARED = {element for element, _ in CRAWL_FIELDS} | {ALIASES.get(name, name) for _, name in CRAWL_FIELDS}
+#: Declared elements that are values, not objects.
+VALUES = {"pages", "linkingText"}
+
+
+def entry_of(element: str) -> str:
+    """The element an entry of ``element`` makes."""
+    return element + "_entry"
 
 
 @dataclass
 class Graph:
-    """fields: (element, field) -> repeated, single or scalar; tables: elements with a table of their own; entries: elements whose field names are data."""
+    """fields: (element, field) -> repeated or single, all others being scalar; tables: elements with a table of their own; entries: elements whose field names are data; objects: elements that are objects."""
 
     fields: dict[tuple[str, str], str]
+    objects: set[str] = field(default_factory=set)
     tables: set[str] = field(default_factory=set)
     entries: set[str] = field(default_factory=set)
 
@@ -49,14 +62,15 @@ class Graph:
         """Choose the tables: roots, repeated, shared and recursive elements."""
         parents: dict[str, set[str]] = defaultdict(set)
         below: dict[str, set[str]] = defaultdict(set)
-        self.tables = {ROOT, WRAPPER} | self.entries
+        self.tables = {ROOT, WRAPPER} | {entry_of(e) for e in self.entries}
         for (element, name), how in self.fields.items():
             child = ALIASES.get(name, name)
             if how == "repeated":
                 self.tables.add(child)
-            if how != "scalar":
-                parents[child].add(element)
-                below[element].add(child)
+            parents[child].add(element)
+            below[element].add(child)
+        for e in self.entries:
+            below[e].add(entry_of(e))
         self.tables |= {e for e, p in parents.items() if len(p) > 1}
         for e in list(below):
             seen, todo = set(), list(below[e])
@@ -79,54 +93,74 @@ def root_of(value: Any) -> tuple[str, dict] | None:
     return (WRAPPER if value.get("results") is not None else ROOT), value
 
 
-def _edges(payloads: Iterable[str | None]) -> dict[tuple[str, str], str]:
-    rank = {"scalar": 0, "single": 1, "repeated": 2}
-    found: dict[tuple[str, str], str] = {}
-    width: dict[str, int] = defaultdict(int)
-
-    def visit(element: str, obj: dict) -> None:
-        for name, value in obj.items():
-            if isinstance(value, str) and value[:1] in "{[ \n\t\r" and (held := held_json(value)) is not UNREADABLE and (element, name) in found and found[element, name] != "scalar":
-                value = held
-            how = "repeated" if isinstance(value, list) else "single" if isinstance(value, dict) else "scalar"
-            at = (element, name) if width[element] < MANY_KEYS or element in DECLARED else (element, "*")
-            if at not in found:
-                width[element] += 1
-                found[at] = how
-            elif rank[how] > rank[found[at]]:
-                found[at] = how
-            child = ALIASES.get(name, name)
-            for x in value if isinstance(value, list) else (value,):
-                if isinstance(x, dict):
-                    visit(child, x)
-
+def _edges(payloads: Iterable[str | None], entries: frozenset[str] = frozenset(), followed: frozenset[tuple[str, str]] = frozenset(CRAWL_FIELDS)) -> dict[tuple[str, str], int]:
+    """(element, field) -> bits: 1 it holds an object, 2 an array, 8 an array with an object in it, 4 a text that holds one of these, which is read only in ``followed`` fields."""
+    found: dict[tuple[str, str], int] = {}
     for text in payloads:
-        if (root := root_of(read_json(text))) is not None:
-            visit(*root)
+        root = root_of(read_json(text))
+        todo = [] if root is None else [root]
+        while todo:
+            element, obj = todo.pop()
+            into = element in entries
+            for name, value in obj.items():
+                at = (element, name)
+                if isinstance(value, str):
+                    if value[:1] not in "{[ \n\t\r" or value == "" or (held := held_json(value)) is UNREADABLE:
+                        continue
+                    if at not in followed and not into:
+                        found[at] = found.get(at, 0) | 4
+                        continue
+                    value = held
+                if isinstance(value, dict):
+                    inner, bit = [value], 1
+                elif isinstance(value, list):
+                    inner = [y for x in value if isinstance(y := held_json(x) if isinstance(x, str) and at in followed and ALIASES.get(name, name) not in VALUES else x, dict)]
+                    bit = 10 if inner else 2
+                else:
+                    continue
+                if not into:
+                    found[at] = found.get(at, 0) | bit
+                child = entry_of(element) if into else ALIASES.get(name, name)
+                todo += [(child, x) for x in inner]
     return found
 
 
-def schema_graph(df: DataFrame, payload: str) -> Graph:
-    """The schema graph of a column of JSON texts; the declared crawl fields keep their declared kind."""
+def schema_graph(df: DataFrame, payload: str, many: int = MANY_KEYS) -> Graph:
+    """The schema graph of a column of JSON texts; the declared crawl fields keep their declared kind.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = _edges(pdf[payload])
-            plain = {k[0]: k for k, how in found.items() if how == "scalar" and k[0] in DECLARED}  # one will do: fields not listed are scalar
-            found = {k: how for k, how in found.items() if how != "scalar" or plain.get(k[0], k) == k}
-            yield pd.DataFrame([(clean(k[0]), clean(k[1]), how) for k, how in found.items()], columns=["element", "name", "how"])
-
-    rows = df.select(payload).mapInPandas(scan, "element string, name string, how string").distinct()
-    wide = [r["element"] for r in rows.where(~F.col("element").isin(*DECLARED)).groupBy("element").count().where(F.col("count") > 3 * MANY_KEYS).select("element").collect()]
-    rank = {"scalar": 0, "single": 1, "repeated": 2}
-    graph = Graph({}, entries=set(wide))
-    for r in rows.where(~F.col("element").isin(wide)).collect():  # as many as the schema has fields
-        if r["name"] == "*":
-            graph.entries.add(r["element"])
-        at = (r["element"], r["name"])
-        graph.fields[at] = max(graph.fields.get(at, "scalar"), r["how"], key=rank.get)
-    graph.fields |= CRAWL_FIELDS
-    return graph.plan()
+    The graph depends on the data alone, not on their order or partitions. A
+    pass is repeated only where it met elements of entries or fields that hold
+    elements in some records and texts of such elements in others.
+    """
+    entries: frozenset[str] = frozenset()
+    followed = frozenset(CRAWL_FIELDS)
+    while True:
+
+        def scan(batches: Iterator[pd.DataFrame], entries=entries, followed=followed) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(clean(e), clean(n), bits) for (e, n), bits in _edges(pdf[payload], entries, followed).items()], columns=["element", "name", "bits"])
+
+        rows = materialize(df.select(payload).mapInPandas(scan, "element string, name string, bits int").groupBy("element", "name").agg(F.bit_or("bits").alias("bits")))
+        fields = {at: (2 if how == "repeated" else 1) for at, how in CRAWL_FIELDS.items()}
+        wide: set[str] = set()
+        seen: set[str] = set()
+        frontier = {ROOT, WRAPPER}
+        while frontier:  # as many rounds as the schema is deep; each element brings at most ``many`` fields and those declared
+            seen |= frontier
+            own = rows.where(F.col("element").isin(*frontier))
+            wide |= {r[0] for r in own.where("bits & 3 > 0").groupBy("element").count().where(F.col("count") > many).collect()}
+            for r in own.where(~F.col("element").isin(*wide, "") & (F.col("bits") > 0)).collect():
+                at = (r["element"], r["name"])
+                fields[at] = fields.get(at, 0) | r["bits"]
+            frontier = {ALIASES.get(n, n) for (e, n), bits in fields.items() if e in frontier and bits & 3} | {entry_of(e) for e in entries & frontier}
+            frontier -= seen
+        texts = frozenset(at for at, bits in fields.items() if bits & 4 and bits & 3)
+        if wide - DECLARED <= entries and texts <= followed:
+            graph = Graph({at: "repeated" if bits & 2 else "single" for at, bits in fields.items() if bits & 3 and at[0] not in entries}, entries=set(entries))
+            graph.fields |= CRAWL_FIELDS
+            graph.objects = ({ALIASES.get(n, n) for (_, n), bits in fields.items() if bits & 9} | {entry_of(e) for e in entries} | DECLARED) - VALUES
+            return graph.plan()
+        entries, followed = entries | (wide - DECLARED), followed | texts
 
 
 ROWS = "rec_id long, table_name string, row_key string, parent_table string, parent_key string, pos int, texts map<string,string>, others map<string,string>, field_path string"
@@ -144,56 +178,65 @@ def shred_payload(text: str | None, graph: Graph) -> Iterator[tuple]:
     root = root_of(read_json(text))
     if root is None:
         return
-    out: list[tuple] = []
+    kind, value = root
 
     def put(texts: dict, others: dict, name: str, value: Any) -> None:
         if isinstance(value, str):
             texts[clean(name)] = clean(value)
         elif value is not None:
-            others[clean(name)] = json.dumps(value)
+            others[clean(name)] = write_json(value)
 
     def items(value: Any) -> list:
         if isinstance(value, str) and (held := held_json(value)) is not UNREADABLE:
             value = held
         return value if isinstance(value, list) else [] if value is None else [value]
 
-    def fill(element: str, obj: dict, owner: str, key: str, prefix: str, texts: dict, others: dict, path: str) -> None:
-        for name, value in obj.items():
-            how = "repeated" if element in graph.entries else graph.fields.get((element, name), "scalar")
-            child = element + "_entry" if element in graph.entries else ALIASES.get(name, name)
-            if how == "scalar":
-                put(texts, others, prefix + name, value)
-                continue
-            many = how == "repeated"
-            step = name.replace("~", "~0").replace("/", "~1")
-            at = "" if kind == WRAPPER and path == "/" and name == "results" else f"{path.rstrip('/')}/{step}" if path else step
-            for pos, x in enumerate(items(value)):
-                if isinstance(x, str) and not (many and child not in below) and (held := held_json(x)) is not UNREADABLE:
-                    x = held
-                place = (f"{key}/{pos}" if key else str(pos)) if many else key
-                if x is None:
-                    continue
-                if many or child in graph.tables:
-                    add(child, x, place, owner, key, pos if many else 0, name if element in graph.entries else None, at)
-                elif isinstance(x, dict):
-                    fill(child, x, owner, key, prefix + name + ".", texts, others, at)
-                else:
-                    put(texts, others, prefix + name, x)
+    Row = tuple[str, str, str | None, str | None, int, dict, dict, str]
 
-    def add(element: str, value: Any, key: str, parent: str | None, parent_key: str | None, pos: int, entry: str | None, path: str) -> None:
+    def row(element: str, key: str, parent: str | None, parent_key: str | None, pos: int, entry: str | None, path: str, value: Any) -> tuple[Row, list]:
+        """A row and what is still to be read for it: frames (element, items of the object, owner, key, prefix, texts, others, path)."""
         texts: dict[str, str] = {}
         others: dict[str, str] = {}
         if entry is not None:
             texts["key"] = clean(entry)
-        out.append((element, key, parent, parent_key, pos, texts, others, clean(path)))
         if isinstance(value, dict):
-            fill(element, value, element, key, "", texts, others, path)
-        else:
-            put(texts, others, "value", value)
-
-    below = {e for e, _ in graph.fields}
-    kind, value = root
-    add(kind, value, "0" if kind == ROOT else "", None, None, 0, None, "" if kind == ROOT else "/")
+            return (element, key, parent, parent_key, pos, texts, others, clean(path)), [(element, iter(value.items()), element, key, "", texts, others, path)]
+        put(texts, others, "value", value)
+        return (element, key, parent, parent_key, pos, texts, others, clean(path)), []
+
+    first, todo = row(kind, "0" if kind == ROOT else "", None, None, 0, None, "" if kind == ROOT else "/", value)
+    out: list[Row] = [first]
+    while todo:
+        element, fields, owner, key, prefix, texts, others, path = todo[-1]
+        name, value = next(fields, (None, None))
+        if name is None:
+            todo.pop()
+            continue
+        into = element in graph.entries
+        how = "repeated" if into else graph.fields.get((element, name), "scalar")
+        child = entry_of(element) if into else ALIASES.get(name, name)
+        if how == "scalar":
+            put(texts, others, prefix + name, value)
+            continue
+        many = how == "repeated"
+        step = name.replace("~", "~0").replace("/", "~1")
+        at = "" if kind == WRAPPER and path == "/" and name == "results" else f"{path.rstrip('/')}/{step}" if path else step
+        pending: list = []
+        for pos, x in enumerate(items(value)):
+            if isinstance(x, str) and child in graph.objects and (held := held_json(x)) is not UNREADABLE:
+                x = held
+            place = (f"{key}/{pos}" if key else str(pos)) if many else key
+            if x is None:
+                continue
+            if many or child in graph.tables:
+                made, more = row(child, place, owner, key, pos if many else 0, name if into else None, at, x)
+                out.append(made)
+                pending += more
+            elif isinstance(x, dict):
+                pending.append((child, iter(x.items()), owner, key, prefix + name + ".", texts, others, at))
+            else:
+                put(texts, others, prefix + name, x)
+        todo += reversed(pending)
     yield from out
 
 

@@ -80,7 +80,7 @@ def _items(x: str) -> str:
     return f"CASE json_type({held}) WHEN 'ARRAY' THEN json_extract({held}, '$[*]') WHEN 'NULL' THEN [] ELSE [{held}] END"
 
 
-P4_SQL = f"""
+P4_BASE = f"""
 WITH r AS (SELECT DISTINCT rec_id, CAST(payload AS JSON) AS p FROM crawl_results WHERE payload IS NOT NULL AND json_valid(payload)),
 s0 AS (SELECT rec_id, CASE WHEN coalesce(json_type(p -> 'results'), 'NULL') <> 'NULL' THEN {_items("(p -> 'results')")} ELSE [p] END AS rows FROM r),
 s AS (SELECT rec_id, i - 1 AS i, {_held('rows[i]')} AS spec FROM (SELECT rec_id, rows, unnest(range(1, len(rows) + 1)) AS i FROM s0)),
@@ -89,6 +89,8 @@ pg AS (SELECT rec_id, i, {_items("(nightly -> 'pages')")} AS xs FROM n),
 rf AS (SELECT rec_id, i, {_items("(refs -> 'informative')")} AS xs FROM n),
 d AS (SELECT rec_id, i, j - 1 AS j, {_held('dfns[j]')} AS dfn FROM (SELECT rec_id, i, dfns, unnest(range(1, len(dfns) + 1)) AS j FROM n)),
 tx AS (SELECT rec_id, i, j, {_items("(dfn -> 'linkingText')")} AS xs FROM d)
+"""
+P4_SQL = P4_BASE + f"""
 SELECT CAST(rec_id AS BIGINT) AS rec_id, 'page' AS child, i || '/' || (k - 1) AS item_path, xs[k] ->> '$' AS val FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS k FROM pg) WHERE json_type(xs[k]) = 'VARCHAR'
 UNION ALL SELECT rec_id, 'ref', i || '/' || (k - 1), {_held('xs[k]')} ->> 'url' FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS k FROM rf) WHERE json_type({_held('xs[k]')} -> 'url') = 'VARCHAR'
 UNION ALL SELECT rec_id, 'heading', i || '/' || j, {_held("(dfn -> 'heading')")} ->> 'href' FROM d WHERE json_type({_held("(dfn -> 'heading')")} -> 'href') = 'VARCHAR'
@@ -107,6 +109,7 @@ ORACLE = {
     "p3_found": P3_BASE + "SELECT * FROM f",
     "p3_counts": P3_BASE + "SELECT snapshot_no, change_kind, count(*) AS n_records FROM f GROUP BY ALL",
     "p4_found": P4_SQL,
+    "p4_definitions": P4_BASE + "SELECT CAST(rec_id AS BIGINT) AS rec_id, i || '/' || j AS row_key, 'spec' AS parent_table, CAST(i AS VARCHAR) AS parent_key, CAST(j AS INTEGER) AS pos, " + ", ".join(f"CASE WHEN json_type(dfn -> '{c}') <> 'NULL' THEN dfn ->> '{c}' END AS {c}" for c in ("id", "href", "type")) + " FROM d WHERE json_type(dfn) <> 'NULL'",
     "p5_found": P5_BASE + "SELECT k AS hierarchy, v AS node_id, path AS node_path FROM w ANTI JOIN bad USING (k, v) UNION ALL SELECT k, v, 'cycle' FROM bad",
     "p5_descendants": P5_BASE + "SELECT DISTINCT k AS hierarchy, u AS ancestor_id, v AS descendant_id FROM up",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,16 +19,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors share: ``spark.checkpoint.dir`` or the session's checkpoint directory.
 
-    The folder is ``spark.checkpoint.dir`` of the session, which all executors
-    share; only where neither that setting nor a checkpoint directory exists
-    (tests on one machine) a temporary folder is used.
+    Where neither is set a temporary folder serves a session on one machine
+    and goes with it; on a cluster that is an error, as no machine can read
+    another's folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="specstrata-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="specstrata-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a table written in the shared folder: columns compressed, read selectively and with known sizes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/specstrata/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all sessions in the shared folder; no DataFrame that reads one may still be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/specstrata")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
