@@ -100,10 +100,10 @@ def read_json(text: str | None) -> Any:
         return UNREADABLE
 
 
-def write_json(value: Any, ensure_ascii: bool = True, sort_keys: bool = False) -> str:
+def write_json(value: Any, ensure_ascii: bool = True, sort_keys: bool = False, comma: str = ", ", colon: str = ": ") -> str:
     """The JSON text of a value, as ``json.dumps`` writes it."""
     try:
-        return json.dumps(value, ensure_ascii=ensure_ascii, sort_keys=sort_keys)
+        return json.dumps(value, ensure_ascii=ensure_ascii, sort_keys=sort_keys, separators=(comma, colon))
     except RecursionError:
         pass
     out: list[str] = []
@@ -117,12 +117,12 @@ def write_json(value: Any, ensure_ascii: bool = True, sort_keys: bool = False) -
         if isinstance(x, dict):
             parts: list[Any] = ["{"]
             for k in sorted(x) if sort_keys else x:
-                parts += [("" if len(parts) == 1 else ", ") + json.dumps(k, ensure_ascii=ensure_ascii) + ": ", (x[k],)]
+                parts += [("" if len(parts) == 1 else comma) + json.dumps(k, ensure_ascii=ensure_ascii) + colon, (x[k],)]
             todo += reversed([*parts, "}"])
         elif isinstance(x, list):
             parts = ["["]
             for y in x:
-                parts += ["" if len(parts) == 1 else ", ", (y,)]
+                parts += ["" if len(parts) == 1 else comma, (y,)]
             todo += reversed([*parts, "]"])
         else:
             out.append(json.dumps(x, ensure_ascii=ensure_ascii))

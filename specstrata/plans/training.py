@@ -10,7 +10,7 @@ QUERIES = {
     "p3_found": snapshots.p3_found, "p3_counts": snapshots.p3_counts, "p3_changes": snapshots.p3_changes,
     "p4_found": nested.p4_found, "p4_tables": nested.p4_tables, "p4_rows": nested.p4_rows, "p4_definitions": nested.p4_definitions,
     "p5_found": hierarchy.p5_found, "p5_nodes": hierarchy.p5_nodes, "p5_descendants": hierarchy.p5_descendants,
-    "p6_found": drift.p6_found, "p6_fields": drift.p6_fields,
+    "p6_found": drift.p6_found, "p6_changes": drift.p6_changes, "p6_fields": drift.p6_fields,
 }
 
 
@@ -97,6 +97,45 @@ UNION ALL SELECT rec_id, 'heading', i || '/' || j, {_held("(dfn -> 'heading')")}
 UNION ALL SELECT rec_id, 'text', i || '/' || j || '/' || (k - 1), xs[k] ->> '$' FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS k FROM tx) WHERE json_type(xs[k]) = 'VARCHAR'
 """
 
+P6_BASE = r"""
+WITH rec AS (SELECT row_number() OVER () AS rid, * FROM (SELECT DISTINCT feed, seq, payload FROM extract_files)),
+tree AS (SELECT rid, feed, seq, payload, j.fullkey AS fk, j.value AS v, CASE j.type WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 WHEN 'NULL' THEN 0 ELSE 2 END AS bit
+  FROM (SELECT * FROM rec WHERE json_valid(payload) AND json_type(payload) = 'OBJECT') r, json_tree(r.payload) j WHERE j.type <> 'OBJECT'),
+leaf AS (SELECT *, replace(substr(regexp_replace(fk, '\[[0-9]+\]', '', 'g'), 3), '"', '') AS path, regexp_extract(fk, '^([^\]]*\])\.', 1) AS one, regexp_extract(fk, '^(.*\])\.', 1) AS two
+  FROM tree WHERE NOT ends_with(fk, ']') AND (bit <> 8 OR len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) IN ('OBJECT', 'ARRAY'))) = 0)),
+item AS (SELECT feed, seq, path, bit, CAST(v AS VARCHAR) AS val, CAST(payload -> 'url' AS VARCHAR) || '|' || regexp_replace(one, '\[[0-9]+\]', '') || '=' || coalesce(CASE WHEN one <> '' THEN CAST(json_extract(payload, one || '.id') AS VARCHAR) END, regexp_extract(one, '\[[0-9]+\]', 0))
+  || CASE WHEN two <> one THEN '|' || regexp_replace(two, '\[[0-9]+\]', '', 'g') || '=' || coalesce(CAST(json_extract(payload, two || '.id') AS VARCHAR), regexp_extract(two, '.*(\[[0-9]+\])', 1)) ELSE '' END AS item FROM leaf),
+held AS (SELECT feed, seq, path, bit_or(bit) AS kinds FROM item WHERE bit > 0 GROUP BY ALL),
+step AS (SELECT * FROM (SELECT feed, seq, lag(seq) OVER (PARTITION BY feed ORDER BY seq) AS before FROM (SELECT DISTINCT feed, seq FROM extract_files)) WHERE before IS NOT NULL),
+n AS (SELECT s.feed, s.seq, s.before, h.path, h.kinds FROM step s JOIN held h ON h.feed = s.feed AND h.seq = s.seq),
+o AS (SELECT s.feed, s.seq, s.before, h.path, h.kinds FROM step s JOIN held h ON h.feed = s.feed AND h.seq = s.before),
+change AS (SELECT coalesce(n.feed, o.feed) AS feed, coalesce(n.seq, o.seq) AS seq, coalesce(n.before, o.before) AS before, coalesce(n.path, o.path) AS path, o.kinds AS k_before, n.kinds AS k_now,
+  CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'retyped' END AS kind FROM n FULL JOIN o ON n.feed = o.feed AND n.seq = o.seq AND n.path = o.path WHERE o.path IS NULL OR n.path IS NULL OR o.kinds <> n.kinds),
+shared AS (SELECT s.feed, s.seq, a.item FROM step s JOIN (SELECT DISTINCT feed, seq, item FROM item) a ON a.feed = s.feed AND a.seq = s.seq JOIN (SELECT DISTINCT feed, seq, item FROM item) b ON b.feed = s.feed AND b.seq = s.before AND b.item = a.item),
+vals AS (SELECT c.feed, c.seq, c.path, c.kind, list_sort(list(DISTINCT i.item || ' ' || i.val)) AS vs FROM change c JOIN item i ON i.feed = c.feed AND i.seq = CASE c.kind WHEN 'added' THEN c.seq ELSE c.before END AND i.path = c.path AND i.bit > 0
+  JOIN shared ON shared.feed = c.feed AND shared.seq = c.seq AND shared.item = i.item WHERE c.kind <> 'retyped' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY feed, seq, kind, vs ORDER BY path) AS k FROM vals),
+moved AS (SELECT a.feed, a.seq, a.path AS old_path, b.path AS new_path FROM ranked a JOIN ranked b ON a.feed = b.feed AND a.seq = b.seq AND a.vs = b.vs AND a.k = b.k WHERE a.kind = 'removed' AND b.kind = 'added'),
+f AS (SELECT c.feed, c.seq, c.path AS field_path, c.kind AS change_kind, CAST(NULL AS VARCHAR) AS old_path, k_before, k_now FROM change c WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.feed = c.feed AND m.seq = c.seq AND (c.kind = 'removed' AND m.old_path = c.path OR c.kind = 'added' AND m.new_path = c.path))
+  UNION ALL SELECT m.feed, m.seq, m.new_path, 'renamed', m.old_path, a.k_before, b.k_now FROM moved m JOIN change a ON a.feed = m.feed AND a.seq = m.seq AND a.path = m.old_path AND a.kind = 'removed' JOIN change b ON b.feed = m.feed AND b.seq = m.seq AND b.path = m.new_path AND b.kind = 'added')
+"""
+_KINDS = "nullif(array_to_string(list_filter([CASE WHEN ({k}) & 1 > 0 THEN 'string' END, CASE WHEN ({k}) & 2 > 0 THEN 'number' END, CASE WHEN ({k}) & 4 > 0 THEN 'boolean' END, CASE WHEN ({k}) & 8 > 0 THEN 'array' END], lambda x: x IS NOT NULL), '|'), '')"
+
+P6_FIELDS = P6_BASE.replace("WITH rec", "WITH RECURSIVE rec", 1) + r""",
+was AS (SELECT feed, seq, path, lag(seq) OVER (PARTITION BY feed, path ORDER BY seq) AS last FROM held),
+link AS (SELECT w.feed, w.seq, w.path, CASE WHEN m.seq IS NOT NULL THEN s.before WHEN w.last IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moved x WHERE x.feed = w.feed AND x.old_path = w.path AND x.seq > w.last AND x.seq <= w.seq) THEN w.last END AS p_seq, coalesce(m.old_path, w.path) AS p_path
+  FROM was w LEFT JOIN moved m ON m.feed = w.feed AND m.seq = w.seq AND m.new_path = w.path LEFT JOIN step s ON s.feed = w.feed AND s.seq = w.seq),
+root AS (SELECT feed, seq, path, CASE WHEN row_number() OVER (PARTITION BY feed, path ORDER BY seq) = 1 THEN path ELSE path || '@' || seq END AS name FROM link WHERE p_seq IS NULL),
+named AS (SELECT feed, seq, path, name FROM root UNION ALL SELECT l.feed, l.seq, l.path, n.name FROM named n JOIN link l ON l.feed = n.feed AND l.p_seq = n.seq AND l.p_path = n.path),
+rows AS (SELECT DISTINCT row_no, feed, seq, payload FROM extract_files WHERE row_no IS NOT NULL AND feed IS NOT NULL),
+leaves AS (SELECT l.*, CASE WHEN bit = 8 AND json_array_length(v) = 1 THEN json_extract(v, '$[0]') ELSE v END AS u FROM leaf l WHERE bit > 0)
+SELECT r.row_no, r.feed, r.seq, CASE WHEN one = '' THEN '' ELSE '|' || substr(regexp_replace(one, '\[[0-9]+\]', ''), 3) || '=' || coalesce(CAST(json_extract(r.payload, one || '.id') AS VARCHAR), regexp_extract(one, '\[[0-9]+\]', 0)) END
+  || CASE WHEN two <> one THEN '|' || substr(regexp_replace(two, '\[[0-9]+\]', '', 'g'), 3) || '=' || coalesce(CAST(json_extract(r.payload, two || '.id') AS VARCHAR), regexp_extract(two, '.*(\[[0-9]+\])', 1)) ELSE '' END AS item,
+  CASE WHEN bit = 1 THEN v ->> '$' END AS val_text, CASE WHEN bit = 2 THEN CAST(v AS DOUBLE) END AS val_number, CASE WHEN bit = 2 AND regexp_full_match(CAST(v AS VARCHAR), '-?[0-9]+') THEN TRY_CAST(v AS BIGINT) END AS val_integer,
+  CASE WHEN bit = 4 THEN CAST(CAST(v AS BOOLEAN) AS INTEGER) END AS val_flag, CASE WHEN bit = 8 THEN CAST(v AS VARCHAR) END AS val_list, CASE WHEN json_type(u) = 'VARCHAR' THEN u ->> '$' ELSE CAST(u AS VARCHAR) END AS val_text_form, n.name AS field_path
+FROM rows r JOIN leaves l ON l.feed = r.feed AND l.seq = r.seq AND l.payload = r.payload JOIN named n ON n.feed = l.feed AND n.seq = l.seq AND n.path = l.path
+"""
+
 ORACLE = {
     "p1_found": P1_BASE + "SELECT * FROM f",
     "p1_counts": P1_BASE + "SELECT ref_table, CASE ref_table WHEN 'dfns.heading' THEN 'headings' WHEN 'backrefs.href' THEN 'dfns' ELSE 'ids' END AS target_table, month_key, count(*) AS n_dangling FROM f GROUP BY ALL",
@@ -110,6 +149,9 @@ ORACLE = {
     "p3_counts": P3_BASE + "SELECT snapshot_no, change_kind, count(*) AS n_records FROM f GROUP BY ALL",
     "p4_found": P4_SQL,
     "p4_definitions": P4_BASE + "SELECT CAST(rec_id AS BIGINT) AS rec_id, i || '/' || j AS row_key, 'spec' AS parent_table, CAST(i AS VARCHAR) AS parent_key, CAST(j AS INTEGER) AS pos, " + ", ".join(f"CASE WHEN json_type(dfn -> '{c}') <> 'NULL' THEN dfn ->> '{c}' END AS {c}" for c in ("id", "href", "type")) + " FROM d WHERE json_type(dfn) <> 'NULL'",
+    "p6_found": P6_BASE + "SELECT feed, seq, field_path, change_kind FROM f",
+    "p6_changes": P6_BASE + "SELECT feed, seq, field_path, change_kind, old_path, " + ", ".join(f"{_KINDS.format(k=k)} AS types_{name}" for name, k in (("before", "coalesce(k_before, 0)"), ("now", "coalesce(k_now, 0)"), ("come", "coalesce(k_now, 0) & ~coalesce(k_before, 0)"), ("gone", "coalesce(k_before, 0) & ~coalesce(k_now, 0)"))) + " FROM f",
+    "p6_fields": P6_FIELDS,
     "p5_found": P5_BASE + "SELECT k AS hierarchy, v AS node_id, path AS node_path FROM w ANTI JOIN bad USING (k, v) UNION ALL SELECT k, v, 'cycle' FROM bad",
     "p5_descendants": P5_BASE + "SELECT DISTINCT k AS hierarchy, u AS ancestor_id, v AS descendant_id FROM up",
 }

@@ -1,6 +1,6 @@
 import json
 
-from specstrata.operators.drift import canonical_names, drift, leaves, p6_fields, p6_found
+from specstrata.operators.drift import drift, field_spans, leaves, p6_changes, p6_fields, p6_found
 
 SCHEMA = "row_no long, feed string, seq int, file_name string, rec_pos int, payload string, path string, step int"
 
@@ -33,12 +33,39 @@ def test_kinds_of_change(spark):
     assert run(spark, []) == []
 
 
-def test_chains_of_names(spark):
+def spans(spark, rows):
+    return sorted((r["feed"], r["path"], r["from_seq"] or 0, r["to_seq"] or 99, r["field_name"]) for r in field_spans(drift(files(spark, rows))).collect())
+
+
+def test_names_follow_a_field_through_its_renames(spark):
     rows = [("f", k, rec("a", **{n: "v"})) for k, n in enumerate(("a1", "a2", "a3", "a1", "a2"))]
     rows += [("g", k, rec("a", **{n: "v"})) for k, n in enumerate("zyz")]
-    got = sorted((r["feed"], r["path"], r["canonical_path"]) for r in canonical_names(drift(files(spark, rows))).collect())
-    assert got == [("f", "a2", "a1"), ("f", "a3", "a1"), ("g", "y", "z")]
-    assert canonical_names(drift(files(spark, rows[:1]))).count() == 0
+    assert spans(spark, rows) == [("f", "a2", 1, 2, "a1"), ("f", "a2", 4, 99, "a1"), ("f", "a3", 2, 3, "a1"), ("g", "y", 1, 2, "z")]
+    assert field_spans(drift(files(spark, rows[:1]))).count() == 0
+
+
+def test_a_name_taken_over_is_another_field(spark, tmp_path):
+    rows = [("f", 1, rec("u", a="v")), ("f", 2, rec("u", b="v")), ("f", 3, rec("u", b="v", c="w")), ("f", 4, rec("u", b="v", a="w")), ("f", 5, rec("u", b="v")), ("f", 6, rec("u", b="v", a=1)), ("h", 1, rec("u", a="v")), ("h", 2, rec("u", b="v")), ("h", 3, rec("u", b="v", a="n"))]
+    assert spans(spark, rows) == [("f", "a", 4, 5, "c"), ("f", "a", 6, 99, "c"), ("f", "b", 2, 99, "a"), ("h", "a", 3, 99, "a@3"), ("h", "b", 2, 99, "a")]
+    files(spark, rows).write.parquet(f"{tmp_path}/extract_files.parquet")
+    got = p6_fields(spark, str(tmp_path)).where("val_text_form <> 'u'").collect()
+    assert sorted((r["feed"], r["seq"], r["field_path"], r["val_text_form"]) for r in got) == [
+        ("f", 1, "a", "v"), ("f", 2, "a", "v"), ("f", 3, "a", "v"), ("f", 3, "c", "w"), ("f", 4, "a", "v"), ("f", 4, "c", "w"), ("f", 5, "a", "v"), ("f", 6, "a", "v"), ("f", 6, "c", "1"), ("h", 1, "a", "v"), ("h", 2, "a", "v"), ("h", 3, "a", "v"), ("h", 3, "a@3", "n"),
+    ]
+
+
+def test_alternatives_that_appear_are_told(spark, tmp_path):
+    rows = [("f", 1, rec("u", x=1, g="s")), ("f", 2, rec("u", x=1, h="s")), ("f", 2, rec("v", x="t", y=[]))]
+    files(spark, rows).write.parquet(f"{tmp_path}/extract_files.parquet")
+    got = sorted((r["field_path"], r["change_kind"], r["old_path"], r["types_before"], r["types_now"], r["types_come"], r["types_gone"]) for r in p6_changes(spark, str(tmp_path)).collect())
+    assert got == [("h", "renamed", "g", "string", "string", None, None), ("x", "retyped", None, "number", "string|number", "string", None), ("y", "added", None, None, "array", "array", None)]
+
+
+def test_alike_fields_are_partnered_once_and_deep_records_read(spark):
+    rows = [("f", 1, rec("u", p="v", q="v", r="v")), ("f", 2, rec("u", s="v", t="v")), ("d", 1, '{"url": "u", "x": ' + '{"y": ' * 3_000 + "1" + "}" * 3_001), ("d", 2, '{"url": "u", "n": 12345678901234567890123}')]
+    got = [r for r in run(spark, rows) if r[0] == "f"]
+    assert got == [("f", 2, "r", "removed"), ("f", 2, "s", "renamed"), ("f", 2, "t", "renamed")]
+    assert {r[3] for r in run(spark, rows) if r[0] == "d"} == {"added", "removed"}
 
 
 def test_whole_table_against_brute_force(spark, data):
@@ -47,7 +74,7 @@ def test_whole_table_against_brute_force(spark, data):
     for f, s, p in rows:
         vals, types, items = held.setdefault((f, s), ({}, {}, set()))
         value = json.loads(p)
-        for path, _, item, leaf in leaves(value):
+        for path, item, leaf in leaves(value):
             items.add((value["url"], item))
             if leaf is not None:
                 vals.setdefault(path, {})[value["url"], item] = leaf
