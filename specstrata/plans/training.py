@@ -153,5 +153,12 @@ ORACLE = {
     "p6_changes": P6_BASE + "SELECT feed, seq, field_path, change_kind, old_path, " + ", ".join(f"{_KINDS.format(k=k)} AS types_{name}" for name, k in (("before", "coalesce(k_before, 0)"), ("now", "coalesce(k_now, 0)"), ("come", "coalesce(k_now, 0) & ~coalesce(k_before, 0)"), ("gone", "coalesce(k_before, 0) & ~coalesce(k_now, 0)"))) + " FROM f",
     "p6_fields": P6_FIELDS,
     "p5_found": P5_BASE + "SELECT k AS hierarchy, v AS node_id, path AS node_path FROM w ANTI JOIN bad USING (k, v) UNION ALL SELECT k, v, 'cycle' FROM bad",
+    "p5_nodes": P5_BASE + """, good AS (SELECT k, v, path, root, depth, CAST(string_split(path, '/') AS BIGINT[]) AS way FROM w ANTI JOIN bad USING (k, v)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY k, root ORDER BY way) - 1 AS pre FROM good),
+        size AS (SELECT a.k, a.path, count(*) AS n FROM good a JOIN good b ON a.k = b.k AND a.root = b.root AND (b.path = a.path OR starts_with(b.path, a.path || '/')) GROUP BY ALL),
+        below AS (SELECT k, u, count(*) AS n FROM (SELECT DISTINCT k, u, v FROM up) GROUP BY ALL)
+        SELECT r.k AS hierarchy, r.v AS node_id, r.path AS node_path, root AS root_id, depth, 2 * pre - depth AS entry_no, 2 * pre - depth + 2 * s.n - 1 AS exit_no, coalesce(b.n, 0) AS n_descendants, false AS is_endless
+        FROM ranked r JOIN size s USING (k, path) LEFT JOIN below b ON b.k = r.k AND b.u = r.v
+        UNION ALL SELECT bad.k, bad.v, 'cycle', NULL, NULL, NULL, NULL, coalesce(b.n, 0), true FROM bad LEFT JOIN below b ON b.k = bad.k AND b.u = bad.v""",
     "p5_descendants": P5_BASE + "SELECT DISTINCT k AS hierarchy, u AS ancestor_id, v AS descendant_id FROM up",
 }

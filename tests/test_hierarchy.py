@@ -20,31 +20,53 @@ def brute_paths(nodes, edges):
     return sorted((v, "cycle") if endless(v) else (v, "/".join(map(str, w))) for v in nodes for w in ([[v]] if endless(v) else ways(v)))
 
 
-def forest_rows(spark, nodes, edges, stretch):
-    df = spark.createDataFrame([(v, dict(edges).get(v)) for v in nodes], "v long, parent long")
-    iv = H.euler_intervals(df)
-    paths = H.tour_paths(iv.where("root is not null").withColumn("label", F.col("v")), stretch)
+def forest_rows(spark, nodes, edges, stretch, at_once=H.AT_ONCE, homes=7):
+    up = dict(edges)
+    df = spark.createDataFrame([(v, up.get(v), v, v // homes) for v in nodes], "v long, parent long, label long, home long")
+    ends = H.peel(df.select("v"), df.where("parent is not null").select("v", "parent"), at_once)
+    iv = H.euler_intervals(df.join(ends, "v", "left_semi"), at_once)
+    paths = H.tour_paths(iv.withColumn("label", F.col("v")).withColumn("kind", F.lit(0)), stretch)
     good = [tuple(r) for r in paths.select("v", "path").collect()]
-    return sorted(good + [(r[0], "cycle") for r in iv.where("root is null").select("v").collect()]), {r["v"]: r["depth"] for r in iv.where("root is not null").collect()}
+    return sorted(good + [(r[0], "cycle") for r in df.join(ends, "v", "left_anti").select("v").collect()]), {r["v"]: r for r in iv.collect()}
 
 
 def test_forests_with_cycles_and_cut_tours(spark):
     rng = random.Random(1)
     nodes = list(range(60))
     edges = [(v, rng.randrange(v)) for v in range(1, 40) if rng.random() < 0.9] + [(v, v - 1) for v in range(45, 55)] + [(40, 41), (41, 42), (42, 40), (43, 42), (44, 44)]
-    got, depth = forest_rows(spark, nodes, edges, 7)
-    assert got == brute_paths(nodes, edges)
-    assert all(depth[v] == p.count("/") for v, p in got if p != "cycle")
+    want = brute_paths(nodes, edges)
+    rows = {}
+    for at_once in (1_000_000, 12):  # 12: several rounds of peeling, many blocks, splitters of splitters
+        got, iv = forest_rows(spark, nodes, edges, 7, at_once)
+        assert got == want
+        assert all(iv[v]["depth"] == p.count("/") and iv[v]["root"] == int(p.split("/")[0]) for v, p in got if p != "cycle")
+        rows[at_once] = sorted(tuple(r) for r in iv.values())
+    assert rows[1_000_000] == rows[12]
+    ends = {v: iv[v] for v, p in want if p != "cycle"}
+    assert {r["exit"] for r in ends.values() if r["v"] == r["root"]} == {-1}
+
+
+def test_a_long_chain_in_no_order(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(1000), 60)
+    edges = list(zip(ids[1:], ids))
+    got, iv = forest_rows(spark, ids, edges, 40, at_once=30, homes=90)
+    assert got == brute_paths(ids, edges) and iv[ids[-1]]["depth"] == 59 and iv[ids[0]]["entry"] == -120
 
 
 def test_star_wider_than_a_shard(spark):
-    df = spark.createDataFrame([(0, None)] + [(i, 0) for i in range(1, 60)], "v long, parent long")
-    arcs = {r["arc"]: r["nxt"] for r in H._arcs(df, wide=10).collect()}
-    at, seen = 0, []
-    while at is not None:
-        seen.append(at)
-        at = arcs[at]
-    assert len(seen) == 120 and sorted(seen) == list(range(120))
+    df = spark.createDataFrame([(0, None, 0, 0)] + [(i, 0, i % 50, 0) for i in range(1, 60)] + [(70, 3, 70, 1), (71, 3, 71, 1)], "v long, parent long, label long, home long")
+    tours = []
+    for wide in (10, 1000):
+        arcs = {}
+        for r in H._next_arcs(df, wide).collect():
+            arcs |= {2 * r["v"]: r["down_next"], 2 * r["v"] + 1: r["up_next"]}
+        at, seen = 0, []
+        while at is not None:
+            seen.append(at)
+            at = arcs[at]
+        tours.append(seen)
+    assert tours[0] == tours[1] and len(seen) == 124 and [x // 2 for x in seen if x % 2 == 0][1:4] == [50, 1, 51]
 
 
 def test_graph_with_many_parents(spark):
@@ -95,11 +117,11 @@ def test_descendants_and_nodes_of_all_kinds(spark, tmp_path):
 
     rows = H.p5_nodes(spark, str(tmp_path)).collect()
     assert all(r["n_descendants"] == sum(k == r["hierarchy"] and a == r["node_id"] for k, a, _ in want) for r in rows)
-    endless = sorted((r["hierarchy"], r["node_id"], r["way_id"], r["root_id"], r["depth"], r["entry"], r["exit"]) for r in rows if r["is_endless"])
-    assert endless == [(k, v, *[None] * 5) for k, vs in (("includes", (6, 7, 8, 11)), ("inheritance", (4, 5, 6, 7, 8))) for v in vs]
+    endless = sorted((r["hierarchy"], r["node_id"], r["root_id"], r["depth"], r["entry_no"], r["exit_no"], r["node_path"]) for r in rows if r["is_endless"])
+    assert endless == [(k, v, *[None] * 4, "cycle") for k, vs in (("includes", (6, 7, 8, 11)), ("inheritance", (4, 5, 6, 7, 8))) for v in vs]
     whole = [r for r in rows if not r["is_endless"]]
-    assert len({(r["hierarchy"], r["way_id"]) for r in whole}) == len(whole)
+    assert len({(r["hierarchy"], r["node_path"]) for r in whole}) == len(whole)
     assert sorted(r["depth"] for r in whole if r["hierarchy"] == "includes" and r["node_id"] in (4, 9)) == [2, 2, 3, 3]
-    inside = {(a["hierarchy"], a["node_id"], b["node_id"]) for a in whole for b in whole if (a["hierarchy"], a["root_id"]) == (b["hierarchy"], b["root_id"]) and a["entry"] < b["entry"] and b["exit"] < a["exit"]}
+    inside = {(a["hierarchy"], a["node_id"], b["node_id"]) for a in whole for b in whole if (a["hierarchy"], a["root_id"]) == (b["hierarchy"], b["root_id"]) and a["entry_no"] < b["entry_no"] and b["exit_no"] < a["exit_no"]}
     ended = {(r["hierarchy"], r["node_id"]) for r in whole}
     assert inside == {p for p in want if (p[0], p[2]) in ended}
