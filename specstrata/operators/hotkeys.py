@@ -2,86 +2,66 @@
 
 Rows are first reduced to one state per key and sub-key (map-side combined),
 so a hot key leaves at most as many rows as it has sub-keys. The states are
-checkpointed, which fixes their partitions. Then keys are counted per input
-partition, prefix sums over partitions and keys turn the counts into offsets,
-every state gets its number in the global key order, equal-sized runs of
-numbers form the chunks, and the states that chunks leave at their boundaries
-are merged per key.
-
-Only as many numbers as there are shuffle partitions reach the driver.
+put in the order of key and sub-key, in ranges that are fixed by writing them.
+Then the states are counted per range, prefix sums turn the counts into
+offsets, every state has its number in the global order, equal runs of numbers
+form the chunks, and the states that chunks leave at their boundaries are
+merged per key.
+
+Keys and sub-keys travel as hashes (of 128 and 64 bits), so rows are narrow;
+the texts of the keys are joined to the results at the end. Only as many
+numbers as there are ranges reach the driver.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specstrata.functions.urls import plain_href
 from specstrata.session import materialize, shuffle_partitions, table
 
+KEY = ["_k1", "_k2"]
+
+
+def key_hash(*parts: Column) -> list[Column]:
+    """Two hashes that stand for a key; a null is unlike any text, and unlike a null in another place."""
+    marked = [c for p in parts for c in (p.isNull(), p)]
+    return [F.xxhash64(F.lit(salt), *marked).alias(name) for salt, name in enumerate(KEY)]
 
-def number_rows(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` with ``_n``, a dense number from 0 in which equal keys are contiguous, and their count.
 
-    ``rows`` must have fixed partitions (a checkpoint). Within a key the
-    partitions of ``rows`` come in order, within a partition ``order`` counts.
+def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``rows`` with ``_n``, a dense number from 0 in the given order, and their count.
+
+    Ranges of the order hold equal shares of the rows, whatever values repeat;
+    a range's offset is the sum of the counts before it.
     """
-    spark = rows.sparkSession
-    buckets = shuffle_partitions(spark)
-    rows = rows.withColumn("_part", F.spark_partition_id())
-    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
-    by_key = Window.partitionBy(*keys)
-    counts = counts.withColumn("_in_key", F.sum("_c").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-    counts = counts.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    in_bucket = Window.partitionBy("_bucket").orderBy(*keys, "_part").rowsBetween(Window.unboundedPreceding, 0)
-    counts = materialize(counts.withColumn("_upto", F.sum("_c").over(in_bucket)))
-    totals = {r["_bucket"]: r["n"] for r in counts.groupBy("_bucket").agg(F.sum("_c").alias("n")).collect()}
-    starts = [0, *accumulate(totals.get(b, 0) for b in range(buckets))]
-    begin = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_bucket") + 1)
-    offsets = counts.select(*keys, "_part", (begin + F.col("_upto") - F.col("_c")).alias("_start"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    left, right = rows.alias("l"), offsets.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_part")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    numbered = left.join(right.hint("merge"), condition).select("l.*", "r._start")
-    return numbered.withColumn("_n", F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start"), starts[-1]
-
-
-def key_states(rows: DataFrame, keys: list[str], sub: str, at: str, weight: str, flag: str) -> DataFrame:
-    """Per key: summed weight, distinct non-null sub-keys, first and last time, any flag.
-
-    The work is split into chunks of equal size. While it is, a 128-bit hash
-    stands for the key, whose texts are joined back once per key at the end.
+    parts = shuffle_partitions(rows.sparkSession)
+    ranged = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33).cast("int"))
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    starts = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=-1) + 1))]
+    begin = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_range") + 1)
+    return ranged.withColumn("_n", begin + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_range"), starts[-1]
+
+
+def key_states(rows: DataFrame, sub: str, at: str) -> DataFrame:
+    """Per key (_k1, _k2): rows (_w), distinct non-null sub-keys (_subs), first and last time (_first, _last).
+
+    The work is split into chunks of equal size, so that no key, however hot,
+    and no pair of key and sub-key makes one task work more than another.
     Empty input, empty output.
     """
-    spark = rows.sparkSession
-    hashed = ["_k1", "_k2"]
-    states = rows.groupBy(*keys, sub).agg(F.sum(weight).alias("_w"), F.min(at).alias("_first"), F.max(at).alias("_last"), F.max(flag).alias("_flag"))
-    states = states.withColumn("_k1", F.xxhash64(*keys)).withColumn("_k2", F.xxhash64(F.lit("k2"), *[F.reverse(k) for k in keys]))
-    states = materialize(states.sortWithinPartitions(*hashed, sub))
-    names = states.select(*hashed, *keys).distinct()
-    numbered, total = number_rows(states.drop(*keys), hashed, [sub])
-    chunks = 2 * shuffle_partitions(spark)
+    states = rows.groupBy(*KEY, F.col(sub).alias("_s")).agg(F.count("*").alias("_w"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+    states, total = numbered(states, [*KEY, "_s"])
+    chunks = 2 * shuffle_partitions(rows.sparkSession)
     size = max(1, -(-total // chunks))
-    chunked = numbered.withColumn("_chunk", F.floor(F.col("_n") / size).cast("int")).drop("_n")
-    even = chunked.repartitionById(chunks, F.col("_chunk")) if hasattr(chunked, "repartitionById") else chunked.repartition(chunks, "_chunk")
-    merge = [F.sum("_w").alias("_w"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_flag").alias("_flag")]
-    boundary = even.groupBy("_chunk", *hashed).agg(F.count(sub).alias("_subs"), *merge)
-    return boundary.groupBy(*hashed).agg(F.sum("_subs").alias("_subs"), *merge).join(names, hashed).drop(*hashed)
-
-
-def backref_rows(spark, sf_dir: str) -> DataFrame:
-    """Back-references once per defining spec and once per definition, and the definitions themselves with weight 0."""
-    refs = table(spark, sf_dir, "backrefs").select("backref_id", "defining_shortname", "href", "ref_shortname", "crawled_at").distinct()
-    pair = F.array(F.struct(F.lit("spec").alias("key_kind"), F.col("defining_shortname").alias("key_value")), F.struct(F.lit("definition").alias("key_kind"), plain_href(F.col("href")).alias("key_value")))
-    seen = refs.select(F.explode(pair).alias("_k"), "ref_shortname", "crawled_at").select("_k.key_kind", "_k.key_value", "ref_shortname", "crawled_at", F.lit(1).cast("long").alias("w"), (F.col("_k.key_kind") == "spec").alias("known"))
-    defined = table(spark, sf_dir, "dfns").select("href").unionByName(table(spark, sf_dir, "core_dfns").select("href"))
-    known = defined.select(F.lit("definition").alias("key_kind"), plain_href(F.col("href")).alias("key_value"), F.lit(None).cast("string").alias("ref_shortname"), F.lit(None).cast("timestamp").alias("crawled_at"), F.lit(0).cast("long").alias("w"), F.lit(True).alias("known"))
-    return seen.unionByName(known).where("key_value is not null")
+    chunked = states.withColumn("_chunk", F.floor(F.col("_n") / size).cast("int")).drop("_n").repartitionById(chunks, F.col("_chunk"))
+    merge = [F.sum("_w").alias("_w"), F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+    boundary = chunked.groupBy("_chunk", *KEY).agg(F.count("_s").alias("_subs"), *merge)
+    return boundary.groupBy(*KEY).agg(F.sum("_subs").alias("_subs"), *merge)
 
 
 def p2_hot_keys(spark, sf_dir: str) -> DataFrame:
@@ -90,5 +70,17 @@ def p2_hot_keys(spark, sf_dir: str) -> DataFrame:
     Definitions without a back-reference have count 0 and no times; hrefs that
     no definition has are no keys, and rows without a key count nowhere.
     """
-    states = key_states(backref_rows(spark, sf_dir), ["key_kind", "key_value"], "ref_shortname", "crawled_at", "w", "known")
-    return states.where("_flag").select("key_kind", "key_value", F.col("_w").alias("n_backrefs"), F.col("_subs").alias("n_ref_specs"), F.col("_first").alias("first_crawled"), F.col("_last").alias("last_crawled"))
+    spec, definition = F.lit("spec"), F.lit("definition")
+    backrefs = table(spark, sf_dir, "backrefs")
+    sub = F.when(F.col("ref_shortname").isNotNull(), F.xxhash64("ref_shortname")).alias("_sub")
+    h = F.col("_h")
+    keyed = backrefs.select("backref_id", "defining_shortname", plain_href(F.col("href")).alias("_h"), sub, "crawled_at")
+    pairs = [F.when(c.isNotNull(), F.struct(*key_hash(kind, c))).alias(name) for kind, c, name in ((spec, F.col("defining_shortname"), "_a"), (definition, h, "_b"))]
+    once = keyed.select("backref_id", *pairs, "_sub", "crawled_at").distinct()  # exact copies of a row count once
+    rows = once.select(F.explode(F.array("_a", "_b")).alias("_k"), "_sub", "crawled_at").where("_k is not null").select("_k.*", "_sub", "crawled_at")
+    states = key_states(rows, "_sub", "crawled_at")
+
+    defined = table(spark, sf_dir, "dfns").select("href").unionByName(table(spark, sf_dir, "core_dfns").select("href")).select(definition.alias("key_kind"), plain_href(F.col("href")).alias("key_value"))
+    names = defined.unionByName(backrefs.select(spec.alias("key_kind"), F.col("defining_shortname").alias("key_value"))).where("key_value is not null").distinct()
+    found = names.select("*", *key_hash(F.col("key_kind"), F.col("key_value"))).join(states, KEY, "left")
+    return found.select("key_kind", "key_value", F.coalesce("_w", F.lit(0)).alias("n_backrefs"), F.coalesce("_subs", F.lit(0)).alias("n_ref_specs"), F.col("_first").alias("first_crawled"), F.col("_last").alias("last_crawled"))

@@ -4,9 +4,10 @@ Every row becomes a compact record: two 64-bit key hashes, a row hash and its
 time. The records are reduced to one per key and snapshot (map-side combined),
 dealt into hash buckets, and each bucket is compared in numpy: key arrays are
 sorted and searched with ``searchsorted`` for keys on one side only, and row
-hashes are compared for keys on both. The keys that differ are joined back to
-the table: p3_changes reads the fields of these records only, before and after;
-p3_found reads the spelled key of every record.
+hashes are compared for keys on both. The keys that differ are written, so
+their size is known, and joined to the table before anything else: p3_found
+retrieves the spelled key and p3_changes the fields before and after of these
+records only.
 
 The number of buckets follows the number of rows, so a bucket stays small at
 any size, and a key with very many rows in a snapshot is reduced before it is
@@ -111,8 +112,10 @@ def changed_keys(snapshots: DataFrame, rows_per_bucket: int = 400_000) -> tuple[
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
     differing, keyed = changed_keys(table(spark, sf_dir, "dfn_snapshots"))
-    values = keyed.groupBy(F.col("snapshot_no").cast("int").alias("source_no"), "k1", "k2").agg(F.min("_key").alias("href"))
-    return differing.join(values, ["source_no", "k1", "k2"]).select("snapshot_no", "href", "change_kind")
+    differing = materialize(differing)
+    rows = keyed.select(F.col("snapshot_no").cast("int").alias("source_no"), "k1", "k2", "_key")
+    # a record may have several rows in its snapshot, so one key is kept of those that match
+    return rows.join(differing, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href")).select("snapshot_no", "href", "change_kind")
 
 
 FIELDS = ["linking_text", "dfn_type", "dfn_for", "access_mode", "informative", "heading_href", "crawled", "last_modified", "crawled_at", "loaded_at"]

@@ -28,14 +28,16 @@ WITH i AS (SELECT {plain('href')} k, first_seen b, removed_at g FROM ids WHERE h
 d AS (SELECT {plain('href')} k, first_seen b, removed_at g FROM dfns WHERE href IS NOT NULL
       UNION ALL SELECT {plain('href')}, first_seen, NULL FROM core_dfns WHERE href IS NOT NULL),
 h AS (SELECT page_url p, unnest(list_distinct(list_concat([id], coalesce(alternate_ids, CAST([] AS VARCHAR[]))))) k, first_seen b, removed_at g FROM headings),
-c AS (SELECT DISTINCT 'dfns.href' AS ref_table, CAST(dfn_no AS BIGINT) AS row_id, {plain('href')} k, NULL AS p, crawled_at t FROM dfns WHERE href IS NOT NULL
-      UNION ALL SELECT DISTINCT 'headings.href', heading_no, {plain('href')}, NULL, crawled_at FROM headings WHERE href IS NOT NULL
-      UNION ALL SELECT DISTINCT 'dfns.heading', dfn_no, heading.id, page_url, crawled_at FROM dfns WHERE heading.id IS NOT NULL
-      UNION ALL SELECT DISTINCT 'backrefs.href', backref_id, {plain('href')}, NULL, crawled_at FROM backrefs WHERE href IS NOT NULL),
-ok AS (SELECT c.ref_table, c.row_id FROM c JOIN i ON c.k = i.k WHERE c.ref_table IN ('dfns.href', 'headings.href') AND i.b <= c.t AND (i.g IS NULL OR i.g > c.t)
-       UNION SELECT c.ref_table, c.row_id FROM c JOIN d ON c.k = d.k WHERE c.ref_table = 'backrefs.href' AND d.b <= c.t AND (d.g IS NULL OR d.g > c.t)
-       UNION SELECT c.ref_table, c.row_id FROM c JOIN h ON c.k = h.k AND c.p = h.p WHERE c.ref_table = 'dfns.heading' AND h.b <= c.t AND (h.g IS NULL OR h.g > c.t)),
-f AS (SELECT c.ref_table, c.row_id, strftime(c.t AT TIME ZONE 'UTC', '%Y-%m') AS month_key FROM c ANTI JOIN ok USING (ref_table, row_id))
+c AS (SELECT DISTINCT 'dfns.href' AS ref_table, 'ids' AS target, CAST(dfn_no AS BIGINT) AS row_id, {plain('href')} k, NULL AS p, crawled_at t FROM dfns WHERE href IS NOT NULL
+      UNION ALL SELECT DISTINCT 'headings.href', 'ids', heading_no, {plain('href')}, NULL, crawled_at FROM headings WHERE href IS NOT NULL
+      UNION ALL SELECT DISTINCT 'dfns.heading', 'headings', dfn_no, heading.id, page_url, crawled_at FROM dfns WHERE heading.id IS NOT NULL
+      UNION ALL SELECT DISTINCT 'backrefs.href', 'dfns', backref_id, {plain('href')}, NULL, crawled_at FROM backrefs WHERE href IS NOT NULL),
+l AS (SELECT target, k, p, t, 1 AS child, NULL AS gone, ref_table, row_id FROM c
+      UNION ALL SELECT 'ids', k, NULL, b, 0, coalesce(g, 'infinity'), NULL, NULL FROM i WHERE b IS NOT NULL
+      UNION ALL SELECT 'dfns', k, NULL, b, 0, coalesce(g, 'infinity'), NULL, NULL FROM d WHERE b IS NOT NULL
+      UNION ALL SELECT 'headings', k, p, b, 0, coalesce(g, 'infinity'), NULL, NULL FROM h WHERE b IS NOT NULL AND p IS NOT NULL AND k IS NOT NULL),
+w AS (SELECT *, max(gone) OVER (PARTITION BY target, k, p ORDER BY t NULLS FIRST, child ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alive_to FROM l),
+f AS (SELECT ref_table, target AS target_table, row_id, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month_key FROM w WHERE child = 1 AND (t IS NULL OR alive_to IS NULL OR alive_to <= t))
 """
 
 _LM = "try_strptime(last_modified, ['%a, %d %b %Y %H:%M:%S GMT', '%A, %d-%b-%y %H:%M:%S GMT', '%a %b %d %H:%M:%S %Y'])"
@@ -137,8 +139,8 @@ FROM rows r JOIN leaves l ON l.feed = r.feed AND l.seq = r.seq AND l.payload = r
 """
 
 ORACLE = {
-    "p1_found": P1_BASE + "SELECT * FROM f",
-    "p1_counts": P1_BASE + "SELECT ref_table, CASE ref_table WHEN 'dfns.heading' THEN 'headings' WHEN 'backrefs.href' THEN 'dfns' ELSE 'ids' END AS target_table, month_key, count(*) AS n_dangling FROM f GROUP BY ALL",
+    "p1_found": P1_BASE + "SELECT ref_table, row_id, month_key FROM f",
+    "p1_counts": P1_BASE + "SELECT ref_table, target_table, month_key, count(*) AS n_dangling FROM f GROUP BY ALL",
     "p2_hot_keys": f"""
         WITH b AS (SELECT DISTINCT backref_id, defining_shortname, {plain('href')} AS h, ref_shortname, crawled_at FROM backrefs),
         d AS (SELECT DISTINCT {plain('href')} AS h FROM (SELECT href FROM dfns UNION ALL SELECT href FROM core_dfns) WHERE href IS NOT NULL)

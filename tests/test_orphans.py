@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from specstrata.functions.urls import moment, plain_href, utc_month
-from specstrata.operators.orphans import child_rows, orphan_references, parent_rows
+from specstrata.operators.orphans import child_row, long_form, orphan_references, parent_row
 
 DAY = 86_400
 CHILD = "id long, k string, at timestamp, key string, target string, _h long"
@@ -15,11 +15,11 @@ def at(s):
     return None if s is None else datetime.fromtimestamp(s, timezone.utc)
 
 
-def run(spark, children, parents, hint=10**9):
+def run(spark, children, parents):
     c = spark.createDataFrame([(i, k, at(t), "clash", "clash", 1) for i, k, t in children], CHILD)
     p = spark.createDataFrame([(k, at(b), at(g)) for k, b, g in parents], PARENT)
-    long = child_rows(c, "t.k", "p", F.col("k"), "id", "at").unionByName(parent_rows(p, "p", F.col("k"), "born", F.col("gone")))
-    return sorted(r["row_id"] for r in orphan_references(long, hint).collect())
+    long = long_form(c, child_row("p", F.col("k"), "id", "at", 1)).unionByName(long_form(p, parent_row("p", F.col("k"), "born", F.col("gone"))))
+    return sorted(r["row_id"] for r in orphan_references(long).collect())
 
 
 def brute(children, parents):
@@ -35,7 +35,16 @@ def test_against_brute_force_with_and_without_hot_keys(spark):
     children += [(1000, "ends", 5 * DAY), (1001, "ends", 9 * DAY), (1002, None, DAY), (1003, "hot", None), (1004, "nowhere", DAY)]
     children += children[:50]
     assert run(spark, children, parents) == brute(children, parents)
-    assert run(spark, children, parents, hint=40) == brute(children, parents)
+
+
+def test_one_key_of_most_rows_at_one_instant(spark):
+    parents = [("hot", 3, 5), ("hot", 4, 10), ("other", 3, 4)] + [("hot", 1, 2)] * 100
+    children = [(i, "hot", 7) for i in range(300)] + [(i, "hot", 10) for i in range(300, 700)] + [(i, "hot", 2) for i in range(700, 900)] + [(i, f"k{i}", 1) for i in range(900, 930)] + [(940, "other", 3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        assert run(spark, children + children[:450], parents) == brute(children, parents)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty(spark):
