@@ -26,23 +26,28 @@ from pyspark.sql import functions as F
 
 from specstrata.session import materialize, table
 
-# Letters of other alphabets that are drawn like a Latin letter, letter by letter.
+# Letters of other alphabets that the public list of confusable characters joins to a Latin letter and that are drawn like it, letter by letter.
 LOOKALIKES = {
-    "CYRILLIC": ("АВЕЅІЈКМНОРСТХҮԚԜӀасеһіјӏорԛѕѵԝхуԁ", "ABESIJKMHOPCTXYQWIacehijlopqsvwxyd"),
-    "GREEK": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοϲϳν", "ABEZHIKMNOPTYXCJocjv"),
-    "ARMENIAN": ("ՕՍօհոս", "OUohnu"),
-    "LATIN": ("ɡ", "g"),
+    "CYRILLIC": ("АВЕЅІЈКМНОРСТХҮԚԜӀԌѴасеһіјӏорԛѕѵԝхуԁ", "ABESIJKMHOPCTXYQWIGVacehijlopqsvwxyd"),
+    "GREEK": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοϲϳνρ", "ABEZHIKMNOPTYXCJocjvp"),
+    "ARMENIAN": ("ՕՍՏօհոսցզ", "OUSohnugq"),
+    "CHEROKEE": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏢᏟᏒᏚᏙᏞᏦᏴ", "DRTAJEWMHGZPCRSVLKB"),
+    "LISU": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "COPTIC": ("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABHIKMNOPCTYXopc"),
+    "DESERET": ("𐐄𐐕𐐛𐐬𐐽", "OCLoc"),
+    "TIFINAGH": ("ⴹⵔⵝ", "EOX"),
+    "LATIN": ("ɡᴄᴏᴠᴡᴢꜱ", "gcovwzs"),
 }
 # Signs drawn like another sign.
 SIGNS = {"‐": "-", "‑": "-", "⁃": "-", "∶": ":", "։": ":", "⁄": "/", "∕": "/", "∣": "|", "ǀ": "|", "‧": "·", "∙": "·", "⋅": "·", "‚": ",", "ʼ": "’", "․": "."}
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+SCRIPTS = ("LATIN", *(script for script in LOOKALIKES if script != "LATIN"))
 VARIANTS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 LINE_ENDS = regex.compile("\r\n|[\r\x0b\x0c\x85  ]")
 KEPT = 200_000
 
 _unseen = regex.compile(r"\p{Default_Ignorable_Code_Point}|[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
 _prototype = {a: b for ours, theirs in LOOKALIKES.values() for a, b in zip(ours, theirs)}
-_written = {script: dict(zip(theirs, ours)) for script, (ours, theirs) in LOOKALIKES.items() if script != "LATIN"}
+_written = {script: dict(zip(theirs[::-1], ours[::-1])) for script, (ours, theirs) in LOOKALIKES.items() if script != "LATIN"}
 _writers = {letter: frozenset(["LATIN", *(s for s, w in _written.items() if letter in w)]) for w in _written.values() for letter in w}
 
 
@@ -120,12 +125,13 @@ def spell(token: str, script: str) -> str:
 
 _OPEN = "\x01"  # marks a token whose script the page decides; no prototype holds it
 _open_token = regex.compile("\x01([^ \n]*)")
-_FIELD = 24  # bits of each tally
-_TALLIES = (*SCRIPTS, "OTHER", "MIXED")
+_FIELD = 64  # bits of each tally: more tokens than any text has
+_TALLIES = (*SCRIPTS, "OTHER", "MIXED", "OPEN")
+_OTHER, _MIXED, _SEVERAL = range(len(SCRIPTS), len(_TALLIES))
 
 
 class _Tallies(dict):
-    """Chunk between plain blanks -> how many of its tokens settle on each script or stay mixed, as fields of one integer."""
+    """Chunk between plain blanks -> how many of its tokens settle on each script, stay mixed or could be of several scripts, as fields of one integer."""
 
     def __missing__(self, chunk: str) -> int:
         return _analyse(chunk)[1]
@@ -161,25 +167,30 @@ def _analyse(chunk: str) -> tuple[str, int]:
         if bits == -1:
             out.append(spell(token, "LATIN"))
         elif bits & (bits - 1):
+            tally += 1 << _FIELD * _SEVERAL
             out.append(_OPEN + token)
         elif not bits:
-            tally += 1 << _FIELD * 5
+            tally += 1 << _FIELD * _MIXED
             out.append(spell(token, "LATIN"))
         else:
-            k = min(bits.bit_length() - 1, 4)
+            k = min(bits.bit_length() - 1, _OTHER)
             tally += 1 << _FIELD * k
             out.append(spell(token, _TALLIES[k]))
     return " ".join(out), tally
 
 
+def _count(tally: int, k: int) -> int:
+    return tally >> _FIELD * k & (1 << _FIELD) - 1
+
+
 def page_script(tally: int) -> str:
     """The script most tokens settle on; the first of SCRIPTS in a tie, LATIN if none does."""
-    counts = [tally >> _FIELD * k & (1 << _FIELD) - 1 for k in range(5)]
+    counts = [_count(tally, k) for k in range(_MIXED)]
     return _TALLIES[counts.index(max(counts))]
 
 
-def consistent_form(text: str, forms: _Forms | None = None) -> tuple[str, str, int]:
-    """The consistent form of a text, its script, and the number of tokens left mixed.
+def consistent_form(text: str, forms: _Forms | None = None) -> tuple[str, str, int, int]:
+    """The consistent form of a text, its script, the number of tokens left mixed, and of those several scripts could write.
 
     Blanks at the end of a line cannot be seen and drop out.
     """
@@ -201,21 +212,25 @@ def consistent_form(text: str, forms: _Forms | None = None) -> tuple[str, str, i
             out = _open_token.sub(choose, out)
     if " \n" in out or out.endswith(" "):
         out = "\n".join([line.rstrip(" ") for line in out.split("\n")])
-    return out, script, tally >> _FIELD * 5
+    return out, script, _count(tally, _MIXED), _count(tally, _SEVERAL)
 
 
 def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, form, script, n_mixed and changed of every document; a null text has null in all of them."""
+    """doc_id, form, script, n_mixed, n_confusable and changed of every document; a null text has null in all of them.
+
+    n_mixed counts the tokens no one script can write, n_confusable the
+    whole-script confusables, tokens that several scripts can.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Forms()
         for pdf in batches:
-            rows = [(None, None, None, None) if t is None else (*(r := consistent_form(t, known)), r[0] != t) for t in pdf["_text"]]
-            out = pd.DataFrame(rows, columns=["form", "script", "n_mixed", "changed"]).astype({"n_mixed": "Int32", "changed": "boolean"})
+            rows = [(None, None, None, None, None) if t is None else (*(r := consistent_form(t, known)), r[0] != t) for t in pdf["_text"]]
+            out = pd.DataFrame(rows, columns=["form", "script", "n_mixed", "n_confusable", "changed"]).astype({"n_mixed": "Int64", "n_confusable": "Int64", "changed": "boolean"})
             out.insert(0, "doc_id", pdf["_id"].to_numpy())
             yield out
 
-    return documents.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id is not null").mapInPandas(scan, "doc_id long, form string, script string, n_mixed int, changed boolean")
+    return documents.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id is not null").mapInPandas(scan, "doc_id long, form string, script string, n_mixed long, n_confusable long, changed boolean")
 
 
 def digests(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,6 +268,19 @@ def p9_found(spark, sf_dir: str) -> DataFrame:
     return same_looking_pairs(digests(table(spark, sf_dir, "documents")))
 
 
+def look_classes(digested: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its look), n_docs and n_spellings of the class; copies need no pairs."""
+    digested = materialize(digested)
+    spellings = digested.groupBy("form", "own").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    classes = spellings.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_spellings"))
+    return digested.join(classes, "form").select("doc_id", "class_id", "n_docs", "n_spellings")
+
+
+def p9_classes(spark, sf_dir: str) -> DataFrame:
+    """The class of pages that look the same to which each page with text belongs."""
+    return look_classes(digests(table(spark, sf_dir, "documents")))
+
+
 def p9_forms(spark, sf_dir: str) -> DataFrame:
     """The consistent form of every text."""
     return forms(table(spark, sf_dir, "documents"))

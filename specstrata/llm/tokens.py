@@ -44,13 +44,17 @@ class _Counts(dict):
         return n
 
 
-@lru_cache(maxsize=4)
 def counter(vocabulary: str):
     """A function from text to its number of tokens; null and empty texts have none."""
+    with open(vocabulary, "rb") as f:
+        return _counter(f.read())
+
+
+@lru_cache(maxsize=4)
+def _counter(lines: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     first, later = _Counts(encode, ""), _Counts(encode, " ")
     newline = len(encode("\n"))
@@ -74,12 +78,18 @@ def counter(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, columns: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``columns`` of the documents and n_tokens, the size of the whole text."""
+    """``columns`` of the documents and n_tokens, the size of the whole text.
+
+    The vocabulary, a file of a few MB, is read where the query is made and
+    sent to the workers, which need not have it.
+    """
+    with open(vocabulary, "rb") as f:
+        lines = documents.sparkSession.sparkContext.broadcast(f.read())
     kept = documents.select(*columns, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", n_tokens long"
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = counter(vocabulary)
+        count = _counter(lines.value)
         for pdf in batches:
             yield pdf[columns].assign(n_tokens=[count(t) for t in pdf["_text"]])
 

@@ -2,7 +2,7 @@ import random
 import unicodedata
 
 from specstrata.llm import lookalikes as L
-from specstrata.llm.lookalikes import consistent_form, digests, forms, p9_found, same_looking_pairs
+from specstrata.llm.lookalikes import consistent_form, digests, forms, look_classes, p9_found, same_looking_pairs
 
 
 def form(text):
@@ -29,6 +29,36 @@ def test_other_look():
         assert form(a) != form(b), (a, b)
 
 
+def test_listed_letters_are_told_by_their_script():
+    for script, (ours, theirs) in L.LOOKALIKES.items():
+        assert len(ours) == len(theirs) and all(unicodedata.name(c).split()[0] == script for c in ours), script
+
+
+def test_recall_on_a_labelled_sample():
+    """Words of a page, each letter swapped at random for one drawn alike; and words with a letter visibly changed."""
+    rng = random.Random(11)
+    swaps = {}
+    for ours, theirs in L.LOOKALIKES.values():
+        for a, b in zip(ours, theirs):
+            swaps.setdefault(b, []).append(a)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hits = misses = 0
+    for _ in range(500):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(6)]
+        other = ["".join(rng.choice(swaps[c]) if c in swaps and rng.random() < 0.5 else c for c in w) for w in words]
+        hits += form(" ".join(words)) == form(" ".join(other))
+        k = rng.randrange(6)
+        changed = words[:k] + [rng.choice([c for c in letters if c != words[k][0]]) + words[k][1:]] + words[k + 1 :]
+        misses += form(" ".join(words)) == form(" ".join(changed))
+    assert hits == 500 and misses == 0
+
+
+def test_tallies_of_long_texts():
+    out = consistent_form("слово " * 70_000 + "word " * 69_999 + "сор " * 5)
+    assert out[1] == "CYRILLIC" and out[2:] == (0, 5)
+    assert L._count((1 << 40) << L._FIELD * 2, 2) == 1 << 40 and L.page_script(((1 << 40) << L._FIELD) + 3) == "CYRILLIC"
+
+
 def test_script_of_the_page_decides():
     assert form("Слово cop") == "Слово сор" and form("word сор") == "word cop" and form("сор") == "cop"
     assert consistent_form("Слово Rжd")[2] == 1 and consistent_form("日本 сор")[0] == "日本 cop"
@@ -56,6 +86,9 @@ def test_pairs(spark):
     assert sorted(tuple(r) for r in same_looking_pairs(digests(docs)).collect()) == want
     assert sorted(tuple(r) for r in same_looking_pairs(digests(docs.union(docs))).collect()) == want
     assert same_looking_pairs(digests(docs.limit(0))).count() == 0
+    classes = sorted(tuple(r) for r in look_classes(digests(docs)).collect())
+    assert classes == [(1, 1, 4, 3), (2, 1, 4, 3), (3, 1, 4, 3), (4, 4, 2, 1), (7, 1, 4, 3), (8, 4, 2, 1), (9, 9, 2, 2), (10, 9, 2, 2)]
+    assert look_classes(digests(docs.limit(0))).count() == 0
     got = {r["doc_id"]: r for r in forms(docs).collect()}
     assert got[2]["form"] == "peace" and got[2]["changed"] and not got[1]["changed"] and got[5]["form"] is None and got[6]["form"] == ""
 
