@@ -37,6 +37,21 @@ class Node:
     def __init__(self, tag: str | None, attrs: dict[str, str] | None = None, data: str = "") -> None:
         self.tag, self.attrs, self.children, self.parent, self.data, self.pre, self.post = tag, attrs or {}, [], None, data, 0, 0
 
+    def wrap(self, tag: str) -> Node:
+        """A new element that takes all children and stands in their place."""
+        inner = Node(tag)
+        for c in self.children:
+            inner.add(c)
+        self.children = []
+        self.add(inner)
+        return inner
+
+    def replace(self, other: Node) -> None:
+        """Put another node in this one's place."""
+        if self.parent is not None:
+            self.parent.children[self.parent.children.index(self)] = other
+            other.parent = self.parent
+
     def add(self, child: Node) -> None:
         child.parent = self
         self.children.append(child)
@@ -149,13 +164,10 @@ class _Builder(HTMLParser):
             last.add(Node(None, data=data))
 
 
-def parse_html(html: str) -> Node:
-    """The document of a text, with pre- and post-order numbers."""
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
+def number(root: Node) -> Node:
+    """Give the nodes of a tree their pre- and post-order numbers."""
     count = 0
-    todo: list[tuple[Node, bool]] = [(builder.root, False)]
+    todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         node, done = todo.pop()
         count += 1
@@ -165,7 +177,40 @@ def parse_html(html: str) -> Node:
         node.pre = count
         todo.append((node, True))
         todo.extend((c, False) for c in reversed(node.children))
-    return builder.root
+    return root
+
+
+def parse_html(html: str) -> Node:
+    """The document of a text, with pre- and post-order numbers."""
+    builder = _Builder()
+    builder.feed(html)
+    builder.close()
+    return number(builder.root)
+
+
+def quoted(value: str) -> str:
+    """An attribute's value as it stands between quotation marks."""
+    return value.replace("&", "&amp;").replace('"', "&quot;")
+
+
+def inner_html(node: Node, skip: Callable[[Node], bool] | None = None, attributes: Callable[[Node], dict[str, str]] | None = None) -> str:
+    """The markup of what a node holds, without skipped elements and with the attributes that ``attributes`` gives."""
+    out: list[str] = []
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag is None:
+            out.append(x.data.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\u00a0", "&nbsp;"))
+        elif skip is None or not skip(x):
+            attrs = x.attrs if attributes is None else attributes(x)
+            written = "".join(f' {k}="{quoted(v)}"' for k, v in attrs.items())
+            out.append(f"<{x.tag}{written}>")
+            if x.tag not in VOID:
+                todo.append(f"</{x.tag}>")
+                todo.extend(reversed(x.children))
+    return "".join(out).strip()
 
 
 _PART = re.compile(

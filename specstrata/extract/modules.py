@@ -8,18 +8,23 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import datetime
+from email.utils import parsedate_to_datetime
 from functools import cached_property
 from typing import Any
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-from specstrata.extract.dom import Node, parse_html, squash
+from specstrata.extract.dom import Node, inner_html, parse_html, squash
 
 # What marks a part of a document as informative.
 INFORMATIVE = (
     ".informative,.informative-bg,.note,.issue,.example,.ednote,.annotation,.practice,.introductory,.non-normative,aside,.idlHeader,"
     "[id^=dfn-panel-],.mdn-anno,.wpt-tests-block,details.respec-tests-details"
 )
+#: Characters that stay as they are in an anchor, beside letters, digits, "-", "_" and "." (fixed value).
+ANCHOR_SAFE = "!~*()'"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+MONTHS = "January February March April May June July August September October November December".split()
 # Fixed values of the outline algorithm.
 SECTIONING = frozenset(["article", "aside", "nav", "section"])
 SECTIONING_ROOTS = frozenset(["blockquote", "body", "details", "dialog", "fieldset", "figure", "td"])
@@ -71,6 +76,45 @@ class Page:
     def doc(self) -> Node:
         return parse_html(self.html)
 
+    @cached_property
+    def prepared(self) -> Page:
+        """The page with the definitions of documents that use markup of their own brought to the common form; itself for all others."""
+        from specstrata.extract.prepare import PREPARATIONS
+
+        run = PREPARATIONS.get(self.spec.get("shortname") or "")
+        if run is None:
+            return self
+        page = Page(self.html, self.spec)
+        run(page)
+        page.renumber()
+        return page
+
+    def renumber(self) -> None:
+        from specstrata.extract.dom import number
+
+        number(self.doc)
+
+    @cached_property
+    def prose(self) -> dict[str, Node]:
+        """Reference ("#id") -> the first element that says it defines it in prose."""
+        out: dict[str, Node] = {}
+        for node in self.doc.walk():
+            if "data-defines" in node.attrs:
+                out.setdefault(node.attrs["data-defines"], node)
+        return out
+
+    @cached_property
+    def by_id(self) -> dict[str, Node]:
+        out: dict[str, Node] = {}
+        for node in self.doc.walk():
+            if node.attrs.get("id"):
+                out.setdefault(node.attrs["id"], node)
+        return out
+
+    def resolve(self, node: Node, attribute: str = "href") -> str:
+        """The absolute URL a link leads to."""
+        return urljoin(self.base(node), node.attrs.get(attribute, ""))
+
     @cached_property
     def informative(self) -> set[int]:
         out: set[int] = set()
@@ -89,7 +133,7 @@ class Page:
         name = node.attrs.get(attribute, "")
         if attribute == "href" and name.startswith("#"):
             name = name[1:]
-        return f"{self.base(node).split('#')[0]}#{quote(name, safe=chr(33) + '~*()' + chr(39))}"
+        return f"{self.base(node).split('#')[0]}#{quote(name, safe=ANCHOR_SAFE)}"
 
     def is_informative(self, node: Node) -> bool:
         return id(node) in self.informative
@@ -146,6 +190,8 @@ class Page:
     @cached_property
     def headings_by_id(self) -> dict[str, dict[str, Any]]:
         """Absolute URL of an id -> the heading it stands under; of a heading's several ids the section's comes first, the others are alternates."""
+        if self.doc.first("emu-clause") is not None:
+            return self._clauses_by_id()
         sections = self.sections
         out: dict[str, dict[str, Any]] = {}
         for node in [self.doc.first("body") or self.doc, *(self.doc.first("body") or self.doc).walk()]:
@@ -162,7 +208,7 @@ class Page:
             anchors = [n.attrs.get("id") or n.attrs.get("name") for n in head.walk() if n.attrs.get("id") or n.tag == "a" and n.attrs.get("name")]
             ids = [x for x in dict.fromkeys([section.root.attrs.get("id") if section.root is not None and section.root.tag in SECTIONING else None, head.attrs.get("id"), *anchors]) if x]
             number, title = split_number(self.clean_text(head))
-            info: dict[str, Any] = {"href": f"{self.base(head).split('#')[0]}#{quote(ids[0], safe=chr(33) + '~*()' + chr(39))}" if ids else self.base(head), "title": title}
+            info: dict[str, Any] = {"href": f"{self.base(head).split('#')[0]}#{quote(ids[0], safe=ANCHOR_SAFE)}" if ids else self.base(head), "title": title}
             if ids:
                 info["id"] = ids[0]
             if number:
@@ -170,7 +216,25 @@ class Page:
             if len(ids) > 1:
                 info["alternateIds"] = ids[1:]
             name = node.attrs.get("id") or node.attrs.get("name")
-            out.setdefault(f"{self.base(node).split('#')[0]}#{quote(name, safe=chr(33) + '~*()' + chr(39))}", info)
+            out.setdefault(f"{self.base(node).split('#')[0]}#{quote(name, safe=ANCHOR_SAFE)}", info)
+        return out
+
+
+    def _clauses_by_id(self) -> dict[str, dict[str, Any]]:
+        """The map for documents made of clauses: the nearest clause with an id, by its first heading."""
+        out: dict[str, dict[str, Any]] = {}
+        known: dict[int, dict[str, Any]] = {}
+        for node in self.doc.walk():
+            if not node.attrs.get("id") or node.tag == "emu-xref":
+                continue
+            clause = next((n for n in node.up() if n.tag in ("emu-intro", "emu-clause", "emu-annex") and n.attrs.get("id")), None)
+            if clause is None:
+                continue
+            if id(clause) not in known:
+                head = clause.first("h1")
+                number, text = split_number(self.clean_text(head)) if head is not None else (None, "")
+                known[id(clause)] = {"id": clause.attrs["id"], "href": self.absolute(clause), "title": text} | ({"number": number} if number else {})
+            out[self.absolute(node)] = known[id(clause)]
         return out
 
 
@@ -191,12 +255,24 @@ def generator(page: Page) -> str | None:
 
 
 def last_modified(page: Page) -> str | None:
-    """The date of the document's head, as written."""
+    """The date of the document's head, as written; else the date the document was served with, as day, month and year."""
     head = page.doc.first(".head time")
     if head:
-        return squash(head.text())
-    sub = page.doc.first(".head h2")
-    return " ".join(squash(sub.text()).split(" ")[-3:]) if sub else None
+        return head.text().strip()
+    status = " ".join(n.text() for n in page.doc.select(".head h2")).split()
+    if status:
+        return " ".join(status[-3:])
+    served = page.spec.get("last_modified")
+    if not served:
+        return None
+    try:
+        at = datetime.fromisoformat(served)
+    except ValueError:
+        try:
+            at = parsedate_to_datetime(served)
+        except ValueError:
+            return None
+    return f"{at.day} {MONTHS[at.month - 1]} {at.year}"
 
 
 def revision(page: Page) -> str | None:
@@ -334,39 +410,78 @@ def _list(text: str, sep: str = "|") -> list[str]:
     return [squash(x) for x in text.split(sep) if squash(x)]
 
 
+# Elements that prose keeps, and the attributes they keep beside the link.
+PROSE_TAGS = frozenset("blockquote dd div dl dt figcaption figure hr li ol p pre ul a abbr b bdi bdo br cite code data dfn em i kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr".split())
+PROSE_ATTRIBUTES = ("dir", "lang", "title")
+#: Attributes by which a document takes part in the model of definitions (fixed value).
+MODEL = ("data-dfn-type", "data-dfn-for", "data-export", "data-noexport")
+#: A definition that is a link as a whole is one all the same if it leads here (fixed value).
+LINKED_TERM = "https://www.w3.org/TR/CSS2/syndata.html#vendor-keywords"
+
+
+def prose_html(page: Page, node: Node) -> str:
+    """The markup of a definition in prose: plain grouping and text elements only, links made absolute."""
+
+    def attributes(n: Node) -> dict[str, str]:
+        return {k: page.resolve(n) if k == "href" else v for k, v in n.attrs.items() if k == "href" or k in PROSE_ATTRIBUTES}
+
+    inside = page.is_informative(node)
+    return inner_html(node, lambda n: n.tag not in PROSE_TAGS or page.is_informative(n) and not inside, attributes)
+
+
+def _place(node: Node) -> str:
+    """Where a definition stands: the nearest term, block, table, heading, note or example, else prose."""
+    for n in node.up():
+        if n.tag in ("dt", "pre", "table"):
+            return n.tag
+        if n.tag in HEADINGS:
+            return "heading"
+        if n.tag and "note" in n.classes:
+            return "note"
+        if n.tag and "example" in n.classes:
+            return "example"
+    return "prose"
+
+
 def definition(page: Page, node: Node, own_model: bool) -> dict[str, Any]:
     """One definition. ``own_model``: the document marks its definitions' types and exports itself."""
-    text = squash(node.text(lambda n: n.matches(".secno,.self-link")))
-    kind = node.attrs.get("data-dfn-type", "dfn") or "dfn"
+    text = squash(node.text(lambda n: "secno" in n.classes))
+    terms = [squash(x) for x in node.attrs["data-lt"].split("|")] if "data-lt" in node.attrs else [text]
+    kind = node.attrs.get("data-dfn-type") or "dfn"
     if kind == "idl":
-        kind = "method" if "(" in text else "attribute"
+        kind = "method" if terms[0].endswith(")") else "attribute"
     scope = node.attrs.get("data-dfn-for", "")
-    exported = "data-export" in node.attrs or kind != "dfn" and not kind.startswith("cddl-") and "data-noexport" not in node.attrs
-    place = next((n for n in node.up() if n.tag and n.matches("dt,pre,table,h1,h2,h3,h4,h5,h6,.note,.example")), None)
-    where = "prose" if place is None else "heading" if place.tag in HEADINGS else "note" if "note" in place.classes and place.tag not in ("dt", "pre", "table") else "example" if "example" in place.classes and place.tag not in ("dt", "pre", "table") else place.tag
-    prose = page.doc.first(f'[data-defines="#{node.attrs["id"]}"]') if '"' not in node.attrs["id"] else None
+    typed = "data-dfn-type" in node.attrs and kind != "dfn" and not kind.startswith("cddl-")
+    exported = "data-export" in node.attrs or typed and "data-noexport" not in node.attrs
+    href = page.absolute(node)
     out = {
-        "id": node.attrs["id"], "href": page.absolute(node), "linkingText": _list(node.attrs["data-lt"]) if "data-lt" in node.attrs else [text], "localLinkingText": _list(node.attrs.get("data-local-lt", "")),
-        "type": kind, "for": [x for x in (squash(p) for p in _FOR.split(scope)) if x], "access": "public" if not own_model or exported else "private", "informative": page.is_informative(node),
-        "heading": page.headings_by_id.get(page.absolute(node)) or {"href": page.base(node), "title": title(page)}, "definedIn": where, "links": [],
+        "id": node.attrs["id"], "href": href, "linkingText": terms, "localLinkingText": _list(node.attrs.get("data-local-lt", "")), "type": kind, "for": [squash(p) for p in _FOR.split(scope)] if scope else [],
+        "access": "public" if not own_model or exported else "private", "informative": page.is_informative(node), "heading": page.headings_by_id.get(href) or {"href": page.base(node), "title": title(page)}, "definedIn": _place(node), "links": [],
     }
-    return out | ({"htmlProse": squash(prose.text())} if prose is not None else {})
+    prose = page.prose.get(f"#{node.attrs['id']}")
+    html = prose_html(page, prose) if prose is not None else ""
+    return out | ({"htmlProse": html} if html else {})
 
 
 def dfns(page: Page) -> list[dict[str, Any]]:
     """Definitions; of public ones with the same type, texts and scope the first counts. Developer notes link to the definition they explain."""
-    marked = ",".join(f"{h}[id][data-dfn-type]" for h in HEADINGS[1:])
-    nodes = [n for n in page.doc.select(f'dfn[id]:not([data-lt=""]),{marked}') if n.attrs["id"] and n.closest(".exclude, del") is None]
-    nodes = [n for n in nodes if (n.attrs.get("data-dfn-type") or "dfn") in DFN_TYPES | {"idl"}]
+    page = page.prepared
+    nodes = []
+    for n in page.doc.walk():
+        marked = n.tag == "dfn" or n.tag in HEADINGS[1:] and any(a in n.attrs for a in (*MODEL, "data-lt"))
+        if marked and n.attrs.get("id") and n.attrs.get("data-lt") != "":
+            nodes.append(n)
+    own_model = any(a in n.attrs for n in nodes for a in MODEL)
 
     def outside(n: Node) -> bool:
-        only = n.elements()
-        return len(only) == 1 and only[0].tag == "a" and only[0].attrs.get("href", "").startswith("http") and squash(only[0].text()) == squash(n.text())
+        """Whether the whole term is a link to another document, and so only imported."""
+        link = next((x for x in (*n.walk(), *n.up()) if x.tag == "a" and x.attrs.get("href", "").startswith("http")), None)
+        return link is not None and n.text().strip() == link.text().strip() and page.resolve(link) != LINKED_TERM
 
-    nodes = [n for n in nodes if not outside(n)]
-    own_model = any("data-dfn-type" in n.attrs or "data-export" in n.attrs or "data-noexport" in n.attrs for n in nodes)
     out, seen = [], set()
     for n in nodes:
+        if (n.attrs.get("data-dfn-type") or "dfn") not in DFN_TYPES | {"idl"} or any(a.tag == "del" or "exclude" in a.classes for a in n.up() if a.tag) or outside(n):
+            continue
         d = definition(page, n, own_model)
         key = (d["type"], frozenset(d["linkingText"]), frozenset(d["for"]))
         if d["access"] == "public":
@@ -374,12 +489,17 @@ def dfns(page: Page) -> list[dict[str, Any]]:
                 continue
             seen.add(key)
         out.append(d)
-    by_href = {d["href"]: d for d in out}
-    for a in page.doc.select(".domintro a[href^='#']"):
-        d = by_href.get(page.absolute(a, "href"))
-        if d is not None:
-            own = next((n for n in a.up() if n.attrs.get("id")), None)
-            d["links"].append({"type": "dev", "name": squash(a.text())} | ({"id": own.attrs["id"], "href": page.absolute(own)} if own else {}))
+    by_href: dict[str, dict] = {}
+    for d in out:
+        by_href.setdefault(d["href"], d)
+    for dt in page.doc.select(".domintro dt"):
+        if dt.first("dfn") is not None:
+            continue
+        for a in dt.select("a[id]"):
+            d = by_href.get(page.absolute(a, "href"))
+            if d is not None:
+                href = page.absolute(a)
+                d["links"].append({"type": "dev", "id": a.attrs["id"], "name": squash(dt.text()), "href": href, "heading": page.headings_by_id.get(href) or {"href": page.base(a), "title": title(page)}})
     return out
 
 
@@ -413,130 +533,6 @@ def elements(page: Page) -> list[dict[str, Any]]:
     return out
 
 
-def _event_key(e: dict[str, Any]) -> tuple:
-    return e["type"], e.get("href"), tuple(sorted(e.get("targets") or ()))
-
-
-def events(page: Page) -> list[dict[str, Any]]:
-    """Events, from summary tables, definition tables, handlers in interface definitions and definitions of type event."""
-    found: list[dict[str, Any]] = []
-
-    def add(e: dict[str, Any], source: str) -> None:
-        for old in found:
-            if old["type"] == e["type"] and (old.get("href") == e.get("href") or sorted(old.get("targets") or ()) == sorted(e.get("targets") or ()) or source == "event table"):
-                for k, v in e.items():
-                    if v not in (None, []):
-                        old.setdefault(k, v)
-                        if old[k] in (None, []):
-                            old[k] = v
-                return
-        found.append(e | {"src": {"format": source, "href": e.get("href")}})
-
-    for table in page.doc.select("table"):
-        head = [squash(th.text()).lower() for th in (table.select("tr")[0].elements() if table.select("tr") else [])]
-        if page.is_informative(table) or not head or not head[0].startswith("event") or head[0].startswith("event handler") or "event-definition" in table.classes:
-            continue
-        col = {name: k for k, h in enumerate(head) for name in ("interface", "target") if name in h}
-        for tr in table.select("tr")[1:]:
-            cells = tr.elements()
-            node = cells[0].first("dfn,a,code") if cells else None
-            if node is None or not squash(node.text()):
-                continue
-            dfn = cells[0].first("[id]")
-            e: dict[str, Any] = {"type": squash(node.text()), "href": page.absolute(dfn) if dfn else node.attrs.get("href") and urljoin(page.base(node), node.attrs["href"])}
-            if "interface" in col and len(cells) > col["interface"]:
-                e["interface"] = squash(cells[col["interface"]].text()).split(" ")[0]
-            if "target" in col and len(cells) > col["target"]:
-                e["targets"] = [x for x in re.split(r"[,\s]+", squash(cells[col["target"]].text())) if re.fullmatch(r"[A-Z]\w+", x)]
-            add(e, "summary table")
-    for table in page.doc.select("table.event-definition"):
-        rows = {squash(tr.elements()[0].text()).lower().rstrip(":"): tr.elements()[1] for tr in table.select("tr") if len(tr.elements()) > 1}
-        if "type" not in rows:
-            continue
-        dfn = rows["type"].first("[id]") or table.closest("[id]")
-        e = {"type": squash(rows["type"].text()), "href": page.absolute(dfn) if dfn else None}
-        if "interface" in rows:
-            e["interface"] = squash(rows["interface"].text())
-        for flag in ("bubbles", "cancelable"):
-            if flag in rows:
-                e[flag] = squash(rows[flag].text()).lower().startswith("yes")
-        if "trusted targets" in rows:
-            e["targets"] = [x for x in re.split(r"[,\s]+", squash(rows["trusted targets"].text())) if x]
-        add(e, "event table")
-    for n in page.doc.select("dfn[data-dfn-type=event]"):
-        if not page.is_informative(n):
-            for name in _list(n.attrs.get("data-lt", "") or n.text()):
-                targets = [squash(x) for x in _FOR.split(n.attrs.get("data-dfn-for", "")) if squash(x)]
-                add({"type": name, "href": page.absolute(n) if n.attrs.get("id") else None} | ({"targets": targets} if targets else {}), "dfn")
-    for iface, body in re.findall(r"interface(?:\s+mixin)?\s+(\w+)[^{]*\{([^}]*)\}", idl(page)):
-        for handler in re.findall(r"attribute\s+(?:EventHandler|OnErrorEventHandler|OnBeforeUnloadEventHandler)\s+on(\w+)\s*;", body):
-            if not any(e["type"] == handler for e in found):
-                add({"type": handler, "targets": [iface], "interface": None}, "IDL")
-    own = page.spec.get("url") or ""
-    return [{k: v for k, v in e.items() if v not in (None, [])} | ({"isExtension": True} if e.get("href") and own and not e["href"].startswith(own) else {}) for e in found]
-
-
-# Verbs that begin the steps of an algorithm.
-STEP_VERBS = frozenset(
-    "abort add advance append apply assert assign await break call cancel check clear clone close collect compute continue convert copy create decode define delete deliver determine disable discard dispatch do empty enable encode enqueue "
-    "ensure execute exit extract fetch finalize find fire flush follow for generate get give handle if increment initialize insert invoke let load lock make mark match move navigate normalize notify note otherwise parse perform pop prepend "
-    "process prompt push queue read receive record register reject release reload remove repeat replace report request reset resolve restore resume return run schedule send serialize set skip sort start stop store strip submit subtract "
-    "switch take terminate throw transfer try unlock unset update upgrade use validate verify wait when while write".split()
-)
-
-
-def _steps(page: Page, root: Node) -> list[dict[str, Any]]:
-    out = []
-    items = root.elements()
-    for li in items:
-        if li.tag == "dt":
-            dd = li.next_element()
-            step: dict[str, Any] = {"case": squash(li.text())}
-            body = dd if dd is not None and dd.tag == "dd" else None
-        elif li.tag == "li":
-            step, body = {}, li
-        else:
-            continue
-        if body is not None:
-            nested = [n for n in body.select("ol, dl.switch") if next(a for a in n.up() if a is not n and (a is body or a.tag in ("ol", "dl"))) is body]
-            inner = {id(n) for n in nested}
-            step["html"] = squash(body.text(lambda n: id(n) in inner))
-            if nested:
-                step["steps"] = _steps(page, nested[0])
-            if len(nested) > 1:
-                step["additional"] = [{"steps": _steps(page, n)} for n in nested[1:]]
-        out.append(step)
-    return out
-
-
-def algorithms(page: Page) -> list[dict[str, Any]]:
-    """Algorithms in document order: marked ones, and lists whose steps begin with a verb of action; nested lists are steps, not algorithms."""
-    if "emu-clause" in {n.tag for n in page.doc.walk()}:
-        return []
-    roots: list[tuple[Node, Node, str]] = []
-    for box in page.doc.select(".algorithm, .switch"):
-        root = box if box.tag in ("ol", "dl") else box.first("ol")
-        if root is not None:
-            roots.append((root, box, ".algorithm" if "algorithm" in box.classes else ".switch"))
-    for ol in page.doc.select("ol"):
-        first = ol.first("li")
-        words = re.findall(r"[A-Za-z-]+", first.text())[:1] if first is not None else []
-        if words and words[0].lower() in STEP_VERBS:
-            roots.append((ol, ol, words[0].lower()))
-    roots = [r for r in roots if not page.is_informative(r[0]) and r[0].closest("nav, .toc, .head, .index") is None]
-    out, seen = [], []
-    for root, box, why in sorted(roots, key=lambda r: r[0].pre):
-        if any(s.contains(root) for s in seen):
-            continue
-        seen.append(root)
-        intro = box.siblings_before()[-1] if box is root and box.siblings_before() else box
-        dfn = intro.first("dfn[id]") if intro is not None else None
-        name = box.attrs.get("data-algorithm") or (squash(dfn.text()) if dfn else "")
-        lead = intro if intro is not root else None
-        out.append(({"name": name} if name else {}) | ({"href": page.absolute(dfn)} if dfn else {}) | ({"html": squash(lead.text(lambda n: n is root))} if lead is not None else {}) | {"rationale": why, "steps": _steps(page, root)})
-    return out
-
-
 def outline(page: Page) -> list[dict[str, Any]]:
     """Sections with their depth and heading, in document order."""
     page.sections

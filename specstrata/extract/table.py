@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from typing import Any
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specstrata.extract import modules as m
+from specstrata.extract.algorithms import algorithms
 from specstrata.extract.css import css
+from specstrata.extract.events import events
 from specstrata.extract.webidl import IdlError, idl_report
 
 ITEM = {"heading": "struct<id:string,href:string,title:string,number:string,alternateIds:array<string>>"}
@@ -23,17 +26,28 @@ REGISTRY: dict[str, tuple[Callable[[m.Page], Any], str]] = {
     "headings": (m.headings, "array<struct<id:string,href:string,title:string,number:string,alternateIds:array<string>,level:int>>"),
     "refs": (m.references, "struct<normative:array<struct<name:string,url:string>>,informative:array<struct<name:string,url:string>>>"),
     "idl": (m.idl, "string"), "cddl": (m.cddl, "array<struct<name:string,cddl:string>>"), "elements": (m.elements, "array<struct<name:string,href:string,interface:string,obsolete:boolean>>"),
-    "events": (m.events, "array<struct<type:string,interface:string,targets:array<string>,bubbles:boolean,cancelable:boolean,isExtension:boolean,href:string,src:struct<format:string,href:string>>>"),
-    "dfns": (m.dfns, "array<struct<id:string,href:string,linkingText:array<string>,localLinkingText:array<string>,type:string,`for`:array<string>,access:string,informative:boolean,heading:" + ITEM["heading"] + ",definedIn:string,links:array<struct<type:string,id:string,name:string,href:string>>,htmlProse:string>>"),
-    "css": (css, "string"), "algorithms": (m.algorithms, "string"), "outline": (m.outline, "array<struct<depth:int,title:string,level:int>>"),
+    "events": (events, "array<struct<type:string,interface:string,targets:array<string>,bubbles:boolean,cancelable:boolean,isExtension:boolean,href:string,src:struct<format:string,href:string>>>"),
+    "dfns": (m.dfns, "array<struct<id:string,href:string,linkingText:array<string>,localLinkingText:array<string>,type:string,`for`:array<string>,access:string,informative:boolean,heading:" + ITEM["heading"] + ",definedIn:string,links:array<struct<type:string,id:string,name:string,href:string,heading:" + ITEM["heading"] + ">>,htmlProse:string>>"),
+    "css": (css, "string"), "algorithms": (algorithms, "string"), "outline": (m.outline, "array<struct<depth:int,title:string,level:int>>"),
 }
+# The files modules are known by, where these differ from the column.
+_FILES = {
+    "get-title": "title", "get-generator": "generator", "get-lastmodified-date": "date", "get-revision": "revision", "extract-links": "links", "extract-ids": "ids", "extract-headings": "headings", "extract-references": "refs",
+    "extract-webidl": "idl", "extract-cddl": "cddl", "extract-elements": "elements", "extract-events": "events", "extract-dfns": "dfns", "extract-cssdfn": "css", "extract-algorithms": "algorithms",
+}
+FILES = _FILES | {re.sub("-(.)", lambda x: x[1].upper(), name): column for name, column in _FILES.items()}
 CORE = tuple(n for n in REGISTRY if n != "outline")
 
 
 def select_modules(wanted: list[str] | None) -> list[str]:
-    """Names of the modules to run: all core ones by default; ``core`` stands for them; an unknown name is an error."""
+    """Names of the modules to run: all core ones by default; ``core`` stands for them; an unknown name is an error.
+
+    A module is named by its column, by its file (path, with or without
+    suffix) or by the file's name in camel case.
+    """
     out: list[str] = []
     for name in wanted or ["core"]:
+        name = FILES.get(re.sub(r"\.m?js$", "", name.rsplit("/", 1)[-1]), name)
         if name != "core" and name not in REGISTRY:
             raise ValueError(f"unknown module {name}")
         out += [n for n in (CORE if name == "core" else (name,)) if n not in out]
@@ -41,7 +55,7 @@ def select_modules(wanted: list[str] | None) -> list[str]:
 
 
 def extract(pages: DataFrame, wanted: list[str] | None = None, custom: dict[str, Callable[[m.Page], Any]] | None = None) -> DataFrame:
-    """pages (url, shortname, title, html) with a column per module and ``error``.
+    """pages (url, shortname, title, html, and last_modified if they have it) with a column per module and ``error``.
 
     Filter pages before: filters on the result are not pushed through Python.
     A document that cannot be read keeps its row, with the error and null
@@ -55,10 +69,10 @@ def extract(pages: DataFrame, wanted: list[str] | None = None, custom: dict[str,
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for url, shortname, title, html in zip(pdf["url"], pdf["shortname"], pdf["title"], pdf["html"]):
+            for url, shortname, title, html, served in zip(pdf["url"], pdf["shortname"], pdf["title"], pdf["html"], pdf["last_modified"]):
                 row: dict[str, Any] = {"url": url, "shortname": shortname, "error": None} | dict.fromkeys(runs)
                 try:
-                    page = m.Page(html or "", {"url": url, "shortname": shortname, "title": title})
+                    page = m.Page(html or "", {"url": url, "shortname": shortname, "title": title, "last_modified": served})
                     for n, run in runs.items():
                         found = run(page)
                         row[n] = found if found is None or kinds[n] == "string" and isinstance(found, str) else json.dumps(found)
@@ -67,7 +81,8 @@ def extract(pages: DataFrame, wanted: list[str] | None = None, custom: dict[str,
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["url", "shortname", "error", *runs])
 
-    raw = pages.select("url", "shortname", "title", "html").mapInPandas(scan, "url string, shortname string, error string, " + ", ".join(f"`{n}` string" for n in runs))
+    served = F.col("last_modified") if "last_modified" in pages.columns else F.lit(None)
+    raw = pages.select("url", "shortname", "title", "html", served.cast("string").alias("last_modified")).mapInPandas(scan, "url string, shortname string, error string, " + ", ".join(f"`{n}` string" for n in runs))
     typed = [F.col(n) if kinds[n] == "string" else F.from_json(n, kinds[n]).alias(n) for n in runs]
     return raw.select("url", "shortname", "error", *typed)
 

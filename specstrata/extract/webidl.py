@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from typing import Any
 
 _TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"[^"]*")|(?P<num>-?(?:0[xX][0-9A-Fa-f]+|(?:\d+\.\d*|\.\d+|\d+)(?:[eE][-+]?\d+)?|Infinity\b))|(?P<id>[_-]?[A-Za-z][\w-]*)|(?P<dots>\.\.\.)|(?P<other>[^\s])', re.S)
-# Fixed values of the language.
+# Fixed values of the language: generic types, and the types that are nobody's dependency.
 GENERICS = frozenset(["FrozenArray", "ObservableArray", "Promise", "record", "sequence", "async_sequence"])
-WELL_KNOWN = frozenset(
-    "undefined any boolean byte octet bigint float double DOMString ByteString USVString object symbol short long unsigned unrestricted void CSSOMString Date DOMException".split()
-    + ["unsigned short", "unsigned long", "long long", "unsigned long long", "unrestricted float", "unrestricted double", "ArrayBuffer", "DataView"]
-)
+WELL_KNOWN = frozenset([
+    "undefined", "any", "boolean", "byte", "octet", "short", "unsigned short", "long", "unsigned long", "long long", "unsigned long long",
+    "float", "unrestricted float", "double", "unrestricted double", "bigint", "DOMString", "ByteString", "USVString", "object",
+])
+# Constructs of the first level of the language and what stands for them now.
+OBSOLETE = ((r"attribute +([^\[ ]*)\[\]", "attribute FrozenArray<{}>"), (r"serializer\s*=\s*\{[^}]*\}", "[Default] object toJSON()"))
 PREFIXES = ("static", "readonly", "inherit", "stringifier", "getter", "setter", "deleter", "legacycaller")
 
 
@@ -214,8 +216,9 @@ def parse_idl(text: str) -> list[dict[str, Any]]:
 
 def modern_idl(text: str) -> str:
     """First-level constructs rewritten."""
-    text = re.sub(r"attribute +([^\[ ]*)\[\]", r"attribute FrozenArray<\1>", text)
-    return re.sub(r"serializer\s*=\s*\{[^}]*\}", "[Default] object toJSON()", text)
+    for pattern, now in OBSOLETE:
+        text = re.sub(pattern, now.format(r"\1"), text)
+    return text
 
 
 def type_names(kind: dict[str, Any] | None) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from specstrata.extract.webidl import OBSOLETE
+
 #: Blanks as browsers see them (fixed value): ASCII blanks, NBSP, BOM and the Unicode spaces.
 BLANKS = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
@@ -32,16 +34,25 @@ def css_idl_names(prop: Column) -> Column:
     return F.filter(names, lambda x: x.isNotNull())
 
 
+# What is rewritten in turn, and by what, to make the URLs of one document agree.
+CANONICAL = (
+    ("^http:", "https:"),
+    ("(?s)^([^#]*)#.*$", "$1"),
+    ("(?s)^(.*?)index\\.html", "$1"),
+    ("(?s)^(.*?)Overview\\.html", "$1"),
+    ("(?s)^(.*?)cover\\.html", "$1"),
+    ("spec.whatwg.org/.*", "spec.whatwg.org/"),
+    ("w3.org/TR/(([^/]+/)+)[^/]+\\.[^/]+$", "w3.org/TR/$1"),
+    ("w3.org/TR/([^/]+)$", "w3.org/TR/$1/"),
+    ("w3c.github.io/([^/]+)$", "w3c.github.io/$1/"),
+)
+
+
 def canonical_url(url: Column) -> Column:
     """A URL by which links to a document agree: https, no fragment, no index page, sub-pages folded, trailing slash."""
-    c = F.split(F.regexp_replace(url, "^http:", "https:"), "#")[0]
-    for name in ("index.html", "Overview.html", "cover.html"):
-        at = F.instr(c, name)
-        c = F.when(at > 0, F.concat(F.substr(c, F.lit(1), at - 1), F.substr(c, at + len(name)))).otherwise(c)
-    c = F.regexp_replace(c, "spec.whatwg.org/.*", "spec.whatwg.org/")
-    c = F.regexp_replace(c, "w3.org/TR/(([^/]+/)+)[^/]+\\.[^/]+$", "w3.org/TR/$1")
-    c = F.regexp_replace(c, "w3.org/TR/([^/]+)$", "w3.org/TR/$1/")
-    return F.regexp_replace(c, "w3c.github.io/([^/]+)$", "w3c.github.io/$1/")
+    for pattern, by in CANONICAL:
+        url = F.regexp_replace(url, pattern, by)
+    return url
 
 
 #: Host endings that count as one origin (fixed values).
@@ -57,9 +68,13 @@ def origin(url: Column) -> Column:
     return out.otherwise(base)
 
 
+# Fixed value: standards whose multi-page edition has its anchors in a single page too.
+MULTIPAGE = "^(https://(?:html\\.spec\\.whatwg\\.org|tc39\\.es/ecma262))/multipage/[^#]+#"
+
+
 def single_page_form(url: Column) -> Column:
     """A link into the multi-page edition of a standard as a link into its single page."""
-    return F.regexp_replace(url, "^(https://(?:html\\.spec\\.whatwg\\.org|tc39\\.es/[^/]+))/multipage/[^#/]*#", "$1/#")
+    return F.regexp_replace(url, MULTIPAGE, "$1/#")
 
 
 def encode_fragment(c: Column) -> Column:
@@ -126,8 +141,9 @@ def unwrap_name(c: Column) -> Column:
 
 def modern_idl(idl: Column) -> Column:
     """Interface definitions with first-level constructs rewritten."""
-    arrays = F.regexp_replace(idl, "attribute +([^\\[ ]*)\\[\\]", "attribute FrozenArray<$1>")
-    return F.regexp_replace(arrays, "serializer\\s*=\\s*\\{[^}]*\\}", "[Default] object toJSON()")
+    for pattern, now in OBSOLETE:
+        idl = F.regexp_replace(idl, pattern, now.format("$1"))
+    return idl
 
 
 def has_obsolete_idl(idl: Column) -> Column:

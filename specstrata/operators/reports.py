@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of the fields of extracts.
+# Patterns of the fields of extracts, and the types of their links.
 URL = "^(https?|file|about|wss?):[^ ]*$"
-SHORTNAME = "^[\\w\\-]+((?:-\\d+)?|\\.\\d+(\\.\\d+)*)$"
-INTERFACE = "^[A-Z]([A-Za-z0-9_])*$"
-NUMBER = "^[A-Z\\d](\\d)*([.][A-Z\\d]\\d*)*$"
+SHORTNAME = "^[\\w\\-]+((?<=-v?\\d{1,9})\\.\\d+)?$"
+INTERFACE = "^[A-Z]([A-Za-z0-9_])*$|^console$"
+NUMBER = "^(\\d+|[A-Z])(\\.\\d+)*$"
 ACCESS = ("private", "public")
 
 #: Constraints of the extracts: name -> condition that must hold (null holds).
