@@ -73,6 +73,9 @@ def extract(pages: DataFrame, wanted: list[str] | None = None, custom: dict[str,
                 row: dict[str, Any] = {"url": url, "shortname": shortname, "error": None} | dict.fromkeys(runs)
                 try:
                     page = m.Page(html or "", {"url": url, "shortname": shortname, "title": title, "last_modified": served})
+                    head = page.doc.first("h1")
+                    if head is not None and head.text().strip().startswith("Index of "):
+                        raise ValueError("the document is a listing of a folder")
                     for n, run in runs.items():
                         found = run(page)
                         row[n] = found if found is None or kinds[n] == "string" and isinstance(found, str) else json.dumps(found)

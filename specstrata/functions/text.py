@@ -166,3 +166,8 @@ def same_items(a: Column, b: Column) -> Column:
     """Array equality in order, null like empty."""
     none = F.array().cast("array<string>")
     return F.coalesce(a, none) == F.coalesce(b, none)
+
+
+def locale_key(c: Column) -> Column:
+    """A text to sort by as readers do: letters by alphabet, small before capital, signs first."""
+    return F.collate(c, "UNICODE")

@@ -7,22 +7,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specstrata.functions.text import canonical_url, css_idl_names
+from specstrata.functions.text import MULTIPAGE, canonical_url, css_idl_names, single_page_form
 
 
 def referenced_terms(terms: DataFrame, links: DataFrame) -> DataFrame:
     """Terms with the documents that refer to them, in the order first seen.
 
-    terms: href, owner, ord; of several terms with one href the last holds.
-    links: href, referrer, pos. A document's own references do not count, and
-    terms nobody refers to drop out. Links are reduced to one per term and
-    referrer before the join, so a hot term meets as many rows as it has
-    referring documents.
+    terms: href, owner, ord, and further fields of the term, which are kept; of
+    several documents with one href the last owns it, of several terms of one
+    document the first counts. links: href, referrer, pos, and referrer_url if
+    known. A link into the multi-page edition of a standard that finds no term
+    is taken as one into its single page, where terms of both editions are
+    known. A document's own references do not count, and terms nobody refers
+    to drop out. Links are reduced to one per href and referrer before the
+    join, so a hot term meets as many rows as it has referring documents.
     """
-    last = terms.where("href is not null").groupBy("href").agg(F.max_by("owner", "ord").alias("owner"))
-    pairs = links.where("href is not null and referrer is not null").groupBy("href", "referrer").agg(F.min("pos").alias("pos"))
-    found = pairs.join(last, "href").where(~F.col("referrer").eqNullSafe(F.col("owner")))
-    return found.groupBy("owner", "href").agg(F.array_sort(F.collect_list(F.struct("pos", "referrer"))).alias("r")).select("owner", "href", F.transform("r", lambda x: x["referrer"]).alias("referrers"))
+    more = [c for c in terms.columns if c not in ("href", "owner", "ord")]
+    known = terms.where("href is not null")
+    forms = known.withColumn("form", F.explode(F.array_distinct(F.array("href", single_page_form(F.col("href"))))))
+    index = forms.groupBy("form").agg(F.max_by(F.struct("owner", "href"), F.struct("ord", (F.col("form") == F.col("href")).alias("own"))).alias("_t"))
+    first = known.groupBy("owner", "href").agg(F.min_by(F.struct("ord", *more), "ord").alias("_f"))
+    url = F.min("referrer_url") if "referrer_url" in links.columns else F.lit(None).cast("string")
+    pairs = links.where("href is not null and referrer is not null").groupBy(F.col("href").alias("form"), "referrer").agg(F.min("pos").alias("pos"), url.alias("referrer_url"))
+    direct = pairs.join(index, "form")
+    lost = pairs.where(F.col("form").rlike(MULTIPAGE)).join(index, "form", "left_anti").withColumn("form", single_page_form(F.col("form"))).join(index, "form")
+    found = direct.unionByName(lost).where(~F.col("referrer").eqNullSafe(F.col("_t.owner"))).groupBy("_t", "referrer").agg(F.min("pos").alias("pos"), F.min("referrer_url").alias("url"))
+    of_term = found.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("pos", "referrer", "url"))).alias("r")).select("_t.owner", "_t.href", "r")
+    out = of_term.join(first, ["owner", "href"])
+    return out.select("owner", "href", *[F.col(f"_f.{c}").alias(c) for c in more], F.transform("r", lambda x: x["referrer"]).alias("referrers"), F.transform("r", lambda x: x["url"]).alias("referrer_urls"))
 
 
 def merge_crawls(new: DataFrame, old: DataFrame, keys: list[str], list_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -42,7 +54,8 @@ def merge_crawls(new: DataFrame, old: DataFrame, keys: list[str], list_keys: tup
     kept = marked.where(reduce(lambda a, b: a & b, [F.col(h).isNull() for h in hit], F.lit(True))).drop(*hit)
     for k in list_keys:
         seen = new.select(F.explode(k).alias("_v")).where("_v <> ''").distinct()
-        row = kept.withColumn("_row", F.xxhash64(*[F.to_json(F.struct(*old.columns))]))
+        whole = F.to_json(F.struct(*old.columns))
+        row = kept.withColumn("_row", F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("again"), whole).alias("b")))  # 128 bits: no two rows are taken for one
         gone = row.select("_row", F.explode(k).alias("_v")).join(seen, "_v", "left_semi").select("_row").distinct()
         kept = row.join(gone, "_row", "left_anti").drop("_row")
     return new.unionByName(kept, allowMissingColumns=True)
@@ -57,23 +70,44 @@ def plain_term(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "!overload-[0-9]+", ""), "\\(.*\\)$", "()")
 
 
-def missing_definitions(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """For each expected term (term, type, scope) the closest definition's kind of match.
+def missing_definitions(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each expected term (keys, term, type, scope) the closest definition's kind of match.
 
-    actual: term, type, scopes. A match is exact, or differs in its arguments,
-    also in its type, also in its scope; else the term is missing. A null
-    expected type or scope asks for none. The match is found by one equi-join
-    on the plain term.
+    actual: keys, term, type, scopes. A match is exact, or differs in its
+    arguments, also in its type, also in its scope; else the term is missing.
+    A null expected type or scope asks for none. Terms are looked for among
+    definitions with the same ``keys`` (their document), by one equi-join on
+    the plain term.
     """
-    wanted = expected.select("term", "type", "scope", plain_term(F.col("term")).alias("_p")).where("term is not null").distinct()
-    have = actual.select(F.col("term").alias("_term"), F.col("type").alias("_type"), F.coalesce("scopes", F.array().cast("array<string>")).alias("_scopes"), plain_term(F.col("term")).alias("_p")).where("_term is not null").distinct()
-    kinds = have.groupBy("_p", "_term", "_type", "_scopes").agg(F.lit(1).alias("_there"))
-    joined = wanted.join(kinds, "_p", "left")
+    wanted = expected.select(*keys, "term", "type", "scope", plain_term(F.col("term")).alias("_p")).where("term is not null").distinct()
+    have = actual.select(*keys, F.col("term").alias("_term"), F.col("type").alias("_type"), F.coalesce("scopes", F.array().cast("array<string>")).alias("_scopes"), plain_term(F.col("term")).alias("_p")).where("_term is not null").distinct()
+    kinds = have.withColumn("_there", F.lit(1))
+    joined = wanted.join(kinds, [*keys, "_p"], "left")
     same_type = F.col("type").isNull() | F.col("type").eqNullSafe(F.col("_type"))
     in_scope = F.col("scope").isNull() | F.expr("array_contains(_scopes, scope)")
-    level = F.when(F.col("_there").isNull(), 4).when((F.col("term") == F.col("_term")) & same_type & in_scope, 0).when(same_type & in_scope, 1).when(in_scope, 2).otherwise(3)
-    best = joined.groupBy("term", "type", "scope").agg(F.min(level).alias("_level"))
-    return best.select("term", "type", "scope", F.element_at(F.array(*map(F.lit, RELAXATIONS)), F.col("_level") + 1).alias("match"))
+    level = F.when(F.col("_there").isNull(), 4).when((F.col("term") == F.regexp_replace("_term", "!overload-[0-9]+", "")) & same_type & in_scope, 0).when(same_type & in_scope, 1).when(in_scope, 2).otherwise(3)
+    best = joined.groupBy(*keys, "term", "type", "scope").agg(F.min(level).alias("_level"))
+    return best.select(*keys, "term", "type", "scope", F.element_at(F.array(*map(F.lit, RELAXATIONS)), F.col("_level") + 1).alias("match"))
+
+
+def expected_style_definitions(extracts: DataFrame) -> DataFrame:
+    """spec, term, type, scope: what the style extracts (spec, css as JSON) use without a definition."""
+    kind = "struct<warnings:array<struct<msg:string,name:string,type:string,`for`:string>>>"
+    rows = extracts.select("spec", F.explode(F.from_json("css", kind)["warnings"]).alias("w")).where("w.msg = 'Missing definition'")
+    return rows.select("spec", F.col("w.name").alias("term"), F.col("w.type").alias("type"), F.col("w.for").alias("scope")).distinct()
+
+
+def missing_style_definitions(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Expected style terms (spec, term, type, scope) without a definition of that text in their document; ``match`` tells a text of other type or scope apart.
+
+    actual: spec, term, type, scopes. A call in angle brackets of no known type is found without them as well.
+    """
+    wanted = expected.withColumn("_t", F.explode(F.array_distinct(F.array("term", F.when(F.col("type").isNull(), F.regexp_replace("term", "^<(.*)\\(\\)>$", "$1()")).otherwise(F.col("term"))))))
+    have = actual.select("spec", F.col("term").alias("_t"), F.col("type").alias("_type"), F.col("scopes").alias("_scopes"), F.lit(True).alias("_there")).distinct()
+    joined = wanted.join(have, ["spec", "_t"], "left")
+    fits = F.col("_there") & (F.col("type").isNull() | (F.col("type") == F.col("_type"))) & (F.col("scope").isNull() | (F.array_join("_scopes", ",") == F.col("scope")))
+    best = joined.groupBy("spec", "term", "type", "scope").agg(F.max(F.when(fits, 2).when(F.col("_there"), 1).otherwise(0)).alias("k"))
+    return best.where("k < 2").select("spec", "term", "type", "scope", F.when(F.col("k") == 1, "other type").otherwise("missing").alias("match"))
 
 
 def crawl_stats(specs: DataFrame, error: Column) -> DataFrame:
@@ -81,13 +115,26 @@ def crawl_stats(specs: DataFrame, error: Column) -> DataFrame:
     return specs.agg(F.count("*").alias("crawled"), F.count_if(error.isNotNull()).alias("errors"))
 
 
-def annotate_links(links: DataFrame, specs: DataFrame) -> DataFrame:
-    """Links (url, ...) with the document they lead to, found by canonical URL; the first document in order wins.
+def registry_urls(specs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """shortname, ord, url: the URLs by which a registry's documents are linked to.
+
+    specs: shortname, ord, release_url, nightly_url, series, current, and
+    series_urls of the series, which count for its current document. pages:
+    shortname, url of the documents' further pages.
+    """
+    series = F.when(F.col("current") == F.col("shortname"), F.col("series_urls")) if "series_urls" in specs.columns else F.lit(None).cast("array<string>")
+    own = specs.select("shortname", "ord", F.explode(F.concat(F.array("release_url", "nightly_url"), F.coalesce(series, F.array().cast("array<string>")))).alias("url"))
+    if pages is not None:
+        own = own.unionByName(pages.select("shortname", "url").distinct().join(specs.select("shortname", "ord"), "shortname"))
+    return own.where("url is not null")
+
+
+def annotate_links(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """Links (url, ...) with the document whose URL their canonical form is; the first document in order wins.
 
-    specs: shortname, ord, urls. The lookup is a registry, one row per URL.
+    urls: shortname, ord, url, as ``registry_urls`` gives them.
     """
-    of_url = Window.partitionBy("_c").orderBy("ord", "shortname")
-    lookup = specs.select("shortname", "ord", F.explode("urls").alias("_u")).where("_u is not null").withColumn("_c", canonical_url(F.col("_u"))).withColumn("_k", F.row_number().over(of_url)).where("_k = 1").select("_c", F.col("shortname").alias("spec_shortname"))
+    lookup = urls.groupBy(F.col("url").alias("_c")).agg(F.min_by("shortname", F.struct("ord", "shortname")).alias("spec_shortname"))
     return links.withColumn("_c", canonical_url(F.col("url"))).join(lookup, "_c", "left").drop("_c")
 
 
@@ -154,6 +201,32 @@ def changed_documents(pages: DataFrame, stored: DataFrame, version: str) -> Data
     return pages.withColumn("_h", F.sha2("html", 256)).join(good, ["url", "_h"], "left_anti").drop("_h")
 
 
+def changed_since(pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pages (url, last_modified, etag as served) that must be read again, by what the server says.
+
+    A page is as stored (url, last_modified, etag, error) if its time is that
+    of the stored one or, where no time is stored, its tag is. What has neither
+    or failed is read again.
+    """
+    good = stored.where("error is null").select("url", F.col("last_modified").alias("_l"), F.col("etag").alias("_e")).dropDuplicates(["url"])
+    same = F.when(F.col("_l").isNotNull(), F.col("last_modified") == F.col("_l")).otherwise(F.col("etag") == F.col("_e"))
+    return pages.join(good, "url", "left").where(~F.coalesce(same, F.lit(False))).drop("_l", "_e")
+
+
+#: Milliseconds to wait between requests to an origin, by the ending of its host, else to any other (fixed values).
+PAUSES = ((".csswg.org", 2000), ("csswg.org", 2000), ("w3.org", 1000))
+OTHER_PAUSE = 100
+
+
+def request_plan(urls: DataFrame, origin: Column) -> DataFrame:
+    """urls with their origin, turn and earliest start in milliseconds: one request at a time an origin, a pause after each."""
+    pause = F.lit(OTHER_PAUSE)
+    for ending, ms in reversed(PAUSES):
+        pause = F.when(F.col("origin").endswith(ending), F.lit(ms)).otherwise(pause)
+    turns = Window.partitionBy("origin").orderBy("url")
+    return urls.withColumn("origin", origin).withColumn("turn", F.row_number().over(turns) - 1).withColumn("start_ms", F.col("turn").cast("long") * pause)
+
+
 def known_versions(specs: DataFrame, equivalents: DataFrame | None = None) -> DataFrame:
     """specs (shortname, url, release_url, nightly_url) with ``versions``: its distinct URLs in order, then URLs equivalent to its own (url, urls)."""
     own = F.array_distinct(F.filter(F.array("url", "release_url", "nightly_url"), lambda x: x.isNotNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specstrata.operators.hierarchy import closure
 from specstrata.session import materialize
 
 #: Interface trees along which events bubble, root first (fixed values).
@@ -67,3 +68,22 @@ def tree_info(names: DataFrame, trees: DataFrame) -> DataFrame:
     every = names.select("name", F.col("name").alias("interface"), F.lit(0).alias("far")).unionByName(ancestors(names).select("name", F.col("ancestor").alias("interface"), F.col("depth").alias("far")))
     nearest = Window.partitionBy("name").orderBy("far", "tree")
     return every.distinct().join(trees, "interface").withColumn("_k", F.row_number().over(nearest)).where("_k = 1").select("name", "tree", "interface", "depth", "bubbling_path")
+
+
+def name_graph(names: DataFrame, includes: DataFrame) -> DataFrame:
+    """name, related: every name with itself and all that it inherits from or includes, over any number of steps; chains that go round end.
+
+    names: name, inheritance. includes: target, mixin. Names nobody defines
+    are left out.
+    """
+    known = names.select("name").where("name is not null").distinct()
+    links = names.select(F.col("name").alias("v"), F.col("inheritance").alias("parent")).unionByName(includes.select(F.col("target").alias("v"), F.col("mixin").alias("parent"))).where("v is not null and parent is not null").distinct()
+    links = links.join(known.withColumnRenamed("name", "v"), "v", "left_semi").join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").select("v", "parent")
+    reached = closure(links).select(F.col("v").alias("name"), F.col("above").alias("related"))
+    return known.withColumn("related", F.col("name")).unionByName(reached).distinct()
+
+
+def name_definitions(graph: DataFrame, definitions: DataFrame) -> DataFrame:
+    """name, url, hrefs: for each name the definitions (name, url, href) of what it defines, inherits and includes, by document."""
+    found = graph.join(definitions.select(F.col("name").alias("related"), "url", "href").where("href is not null"), "related")
+    return found.groupBy("name", "url").agg(F.array_sort(F.collect_set("href")).alias("hrefs"))

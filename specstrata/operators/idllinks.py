@@ -66,3 +66,63 @@ def linked_parts(texts: DataFrame, definitions: DataFrame) -> DataFrame:
     every = wanted.select(*part).distinct()
     on = [every[c].eqNullSafe(best[c]) for c in part]
     return every.join(best, on[0] & on[1] & on[2] & on[3], "left").select(*[every[c] for c in part], best["href"])
+
+
+def expected_parts(text: str) -> list[tuple[str, str, str | None]]:
+    """(term, definition type, scope) of every part of interface definitions that a document should define; of a partial definition only the members.
+
+    Listings of values, texts and accessors without a name have no definition
+    of their own, nor have constructors of elements; a text with an error
+    expects none.
+    """
+    try:
+        report = idl_report(text)
+    except IdlError:
+        return []
+    out: list[tuple[str, str, str | None]] = []
+    for partial, d in [(False, d) for d in report.idl_names.values()] + [(True, d) for ds in report.extended.values() for d in ds if d["type"] != "includes"]:
+        name = d["name"]
+        if not partial:
+            out.append((name, DEFINITION_TYPES.get(d["type"], d["type"]), None))
+        for m in d.get("members", ()):
+            kind, label = MEMBER_TYPES.get(m["type"]), m.get("name", "")
+            args = ", ".join(("..." if a["variadic"] else "") + a["name"] for a in m.get("arguments", ()))
+            default = label == "toJSON" and any(a["name"] == "Default" for a in m["extAttrs"])
+            if m.get("special") == "stringifier":
+                out.append(("stringification behavior", "dfn", name))
+            elif kind == "constructor":
+                if not name.startswith("HTML"):
+                    out.append((f"constructor({args})", kind, name))
+            elif kind == "method":
+                if label and not default:
+                    out.append((f"{label}({args})", kind, name))
+            elif kind:
+                out.append((label, kind, name))
+        out += [(f'"{v}"', "enum-value", name) for v in d.get("values", ())]
+    return out
+
+
+def expected_idl_definitions(texts: DataFrame) -> DataFrame:
+    """spec, term, type, scope: what the interface definitions (spec, idl) of each document want defined."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(spec, *part) for spec, text in zip(pdf["spec"], pdf["idl"]) if text for part in expected_parts(text)], columns=["spec", "term", "type", "scope"])
+
+    return texts.select("spec", "idl").mapInPandas(scan, "spec string, term string, type string, scope string").distinct()
+
+
+def mixin_users(texts: DataFrame) -> DataFrame:
+    """mixin, interface: which interfaces the interface definitions (idl) of a corpus say include which mixins."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["idl"]:
+                try:
+                    rows += [(d["includes"], d["target"]) for ds in idl_report(text or "").extended.values() for d in ds if d["type"] == "includes"]
+                except IdlError:
+                    continue
+            yield pd.DataFrame(rows, columns=["mixin", "interface"])
+
+    return texts.select("idl").mapInPandas(scan, "mixin string, interface string").distinct()

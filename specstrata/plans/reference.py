@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specstrata.extract.table import extract, idl_reports, items
+from specstrata.extract.table import idl_reports
 from specstrata.functions import text
 from specstrata.functions.urls import plain_href
 from specstrata.operators import corpus, cssmerge, idlgraph, reports, series
@@ -14,74 +14,6 @@ from specstrata.plans.training import plain
 from specstrata.session import table
 
 
-def _escape(c) -> Column:
-    for ch, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(ch), F.lit(name))
-    return c
-
-
-def title_pages(spark, sf_dir: str) -> DataFrame:
-    """A page per registered spec whose title element is its title."""
-    head = F.when(F.col("title").isNull(), F.lit("")).otherwise(F.concat(F.lit("<title>"), _escape(F.col("title")), F.lit("</title>")))
-    return table(spark, sf_dir, "specs").select("url", "shortname", F.lit(None).cast("string").alias("title"), F.concat(F.lit("<!DOCTYPE html><html><head>"), head, F.lit("</head><body><p>x</body></html>")).alias("html"))
-
-
-def heading_pages(spark, sf_dir: str) -> DataFrame:
-    """A page per crawled URL that holds its headings in order."""
-    h = table(spark, sf_dir, "headings").select("page_url", "pos", "heading_no", "level_no", "id", "title").where("page_url is not null and id is not null").distinct()
-    tag = F.concat(F.lit("h"), F.least("level_no", F.lit(6)).cast("string"))
-    line = F.concat(F.lit("<"), tag, F.lit(' id="'), _escape(F.col("id")), F.lit('">'), _escape(F.coalesce("title", F.lit(""))), F.lit("</"), tag, F.lit(">"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "heading_no", line.alias("line")))), lambda x: x["line"]), "\n")
-    return h.groupBy(F.col("page_url").alias("url")).agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html")).select("url", F.lit(None).cast("string").alias("shortname"), F.lit(None).cast("string").alias("title"), "html")
-
-
-def definition_pages(spark, sf_dir: str) -> DataFrame:
-    """A page per crawled URL that holds its definitions as marked-up text."""
-    d = table(spark, sf_dir, "dfns").select("page_url", "dfn_no", "id", "linking_text", "dfn_type", "dfn_for", "access_mode").where("page_url is not null and id is not null").distinct()
-    none = F.array().cast("array<string>")
-    mark = F.when(F.col("access_mode") == "public", F.lit(" data-export")).otherwise(F.lit(" data-noexport"))
-    line = F.concat(
-        F.lit('<p><dfn id="'), _escape(F.col("id")), F.lit('" data-dfn-type="'), F.coalesce("dfn_type", F.lit("dfn")), F.lit('" data-dfn-for="'), _escape(F.array_join(F.coalesce("dfn_for", none), ", ")), F.lit('" data-lt="'),
-        _escape(F.array_join(F.coalesce("linking_text", none), "|")), F.lit('"'), mark, F.lit(">term</dfn></p>"),
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dfn_no", line.alias("line")))), lambda x: x["line"]), "\n")
-    return d.groupBy(F.col("page_url").alias("url")).agg(F.concat(F.lit("<html><head><title>T</title></head><body>"), body, F.lit("</body></html>")).alias("html")).select("url", F.lit(None).cast("string").alias("shortname"), F.lit(None).cast("string").alias("title"), "html")
-
-
-def link_pages(spark, sf_dir: str) -> DataFrame:
-    """A page per referring spec and month that holds its links, one per href and kind."""
-    b = table(spark, sf_dir, "backrefs").select("ref_shortname", "href", "link_kind", F.trunc("crawled_at", "month").alias("m")).where("ref_shortname is not null and href is not null").distinct()
-    line = F.concat(F.lit("<a"), F.when(F.col("link_kind") == "autolink", F.lit(' data-link-type="dfn"')).otherwise(F.lit("")), F.lit(' href="'), _escape(F.col("href")), F.lit('">x</a>'))
-    page = F.concat("ref_shortname", F.lit("/"), F.date_format("m", "yyyy-MM"))
-    return b.groupBy(page.alias("shortname")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("</body></html>")).alias("html")).select(F.concat(F.lit("https://pages.example/"), "shortname").alias("url"), "shortname", F.lit(None).cast("string").alias("title"), "html")
-
-
-def ref_x1_title(spark, sf_dir: str) -> DataFrame:
-    return extract(title_pages(spark, sf_dir), ["title"]).select("shortname", "title")
-
-
-def ref_x5_links(spark, sf_dir: str) -> DataFrame:
-    """Links of every page: kind, URL, number of anchors."""
-    found = extract(link_pages(spark, sf_dir), ["links"])
-    kinds = [found.select("shortname", F.lit(k).alias("kind"), F.explode(f"links.{k}").alias("link_url", "anchors")) for k in ("rawlinks", "autolinks")]
-    return kinds[0].unionByName(kinds[1]).select("shortname", "kind", "link_url", F.size("anchors").alias("n_anchors"))
-
-
-def ref_x6_ids(spark, sf_dir: str) -> DataFrame:
-    found = items(extract(heading_pages(spark, sf_dir), ["ids"]), "ids")
-    return found.select(F.col("url").alias("page_url"), F.url_decode(F.replace(F.regexp_extract("item", "#(.*)$", 1), F.lit("+"), F.lit("%2B"))).alias("anchor"), F.col("pos").cast("int").alias("place"))
-
-
-def ref_x7_headings(spark, sf_dir: str) -> DataFrame:
-    found = items(extract(heading_pages(spark, sf_dir), ["headings"]), "headings")
-    return found.select(F.col("url").alias("page_url"), F.col("level"), F.col("title")).groupBy("page_url", "level", "title").agg(F.count("*").alias("n"))
-
-
-def ref_x13_dfns(spark, sf_dir: str) -> DataFrame:
-    found = items(extract(definition_pages(spark, sf_dir), ["dfns"]), "dfns")
-    return found.select(F.col("url").alias("page_url"), F.col("id").alias("dfn_id"), F.array_join("linkingText", "|").alias("texts"), F.col("type").alias("dfn_type"), F.array_join("for", "|").alias("scopes"), F.col("access").alias("access_mode"))
-
-
 def _levels(spark, sf_dir: str) -> DataFrame:
     specs = table(spark, sf_dir, "specs")
     return series.registry_levels(specs).join(specs.select("shortname", "standing", "release_url"), "shortname")
@@ -178,10 +110,12 @@ def ref_p2_linked_names(spark, sf_dir: str) -> DataFrame:
 
 
 def ref_p3_annotated(spark, sf_dir: str) -> DataFrame:
-    """The specs that back-references lead to, found by canonical URL."""
-    links = table(spark, sf_dir, "backrefs").select(F.col("ref_url").alias("url"), "ref_shortname").where("url is not null").groupBy("url", "ref_shortname").agg(F.count("*").alias("n_links"))
-    specs = table(spark, sf_dir, "specs").select("shortname", F.col("spec_no").alias("ord"), F.array("url", "nightly.url", "release_url").alias("urls"))
-    return corpus.annotate_links(links, specs)
+    """The specs that back-references lead to, found by canonical URL among the registry's URLs, those of its series and its pages."""
+    b = table(spark, sf_dir, "backrefs")
+    links = b.select(F.explode(F.array("ref_url", "href")).alias("url")).where("url is not null").groupBy("url").agg(F.count("*").alias("n_links"))
+    specs = table(spark, sf_dir, "specs").select("shortname", F.col("spec_no").alias("ord"), "release_url", F.col("nightly.url").alias("nightly_url"), F.col("series.current_specification").alias("current"), F.array(F.col("url")).alias("series_urls"))
+    pages = table(spark, sf_dir, "headings").select("shortname", F.col("page_url").alias("url")).where("url is not null")
+    return corpus.annotate_links(links, corpus.registry_urls(specs, pages))
 
 
 def ref_p4_patched(spark, sf_dir: str) -> DataFrame:
@@ -243,13 +177,6 @@ _CAMEL = "(split_part({c}, '-', 1) || coalesce(list_aggregate(list_transform(str
 _STYLE = f"{{c}} || CASE WHEN {_CAMEL} <> {{c}} THEN '|' || {_CAMEL} ELSE '' END"
 
 ORACLE = {
-    "ref_x1_title": "SELECT shortname, CASE WHEN coalesce(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') = '' THEN '[No title found for ' || url || ']' ELSE trim(regexp_replace(title, '\\s+', ' ', 'g')) END AS title FROM specs",
-    "ref_x6_ids": "SELECT page_url, id AS anchor, CAST(row_number() OVER (PARTITION BY page_url ORDER BY pos, heading_no) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT page_url, id, pos, heading_no FROM headings WHERE page_url IS NOT NULL AND id IS NOT NULL)",
-    "ref_x7_headings": "SELECT page_url, CAST(least(level_no, 6) AS INTEGER) AS level, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, count(*) AS n FROM (SELECT DISTINCT heading_no, page_url, level_no, title FROM headings WHERE page_url IS NOT NULL AND id IS NOT NULL) GROUP BY ALL",
-    "ref_x13_dfns": """SELECT page_url, id AS dfn_id, array_to_string(lt, '|') AS texts, dfn_type, array_to_string(df, '|') AS scopes, CASE WHEN access_mode = 'public' THEN 'public' ELSE 'private' END AS access_mode FROM (
-        SELECT *, row_number() OVER (PARTITION BY page_url, dfn_type, list_sort(list_distinct(lt)), list_sort(list_distinct(df)), access_mode = 'public' ORDER BY dfn_no) AS k
-        FROM (SELECT DISTINCT dfn_no, page_url, id, dfn_type, access_mode, coalesce(linking_text, CAST([] AS VARCHAR[])) AS lt, coalesce(dfn_for, CAST([] AS VARCHAR[])) AS df FROM dfns WHERE page_url IS NOT NULL AND id IS NOT NULL)
-        WHERE len(lt) > 0) WHERE access_mode <> 'public' OR k = 1""",
     "ref_c1_latest_levels": _LEVELS.format(passes="(standing <> 'discontinued')") + "SELECT shortname, series, comp AS composition, is_latest FROM j",
     "ref_k6_series_files": _LEVELS.format(passes="(release_url IS NOT NULL)") + "SELECT shortname, CASE WHEN comp = 'delta' THEN shortname ELSE coalesce(series, shortname) END AS file_stem FROM j WHERE release_url IS NOT NULL AND (is_latest OR comp = 'delta') AND comp <> 'fork'",
     "ref_c4_names": "WITH r AS (SELECT DISTINCT idl_no, trim(idl_name) AS name, idl_type, shortname, includes FROM idlnames), m AS (SELECT DISTINCT name AS target, trim(unnest(includes)) AS mixin FROM r) SELECT name, idl_type AS type, shortname AS defined_in, CAST((SELECT count(*) FROM m JOIN r n ON n.name = m.mixin WHERE m.target = r.name AND m.mixin <> '') AS INTEGER) AS n_includes FROM r",
@@ -274,8 +201,10 @@ ORACLE = {
     "ref_p1_properties": f"SELECT DISTINCT spec, name, {_STYLE.format(c='name')} AS style_names FROM (SELECT shortname AS spec, unnest(linking_text) AS name FROM dfns WHERE dfn_type = 'property' AND NOT coalesce(informative, false)) WHERE name <> 'property-name' AND NOT starts_with(name, '--')",
     "ref_p2_linked_names": "SELECT DISTINCT shortname AS spec, idl_name AS definition, '#' || idl_no AS href FROM idlnames WHERE fragment IS NOT NULL",
     "ref_p3_annotated": f"""
-        WITH u AS (SELECT shortname, spec_no AS ord, unnest([url, nightly.url, release_url]) AS u FROM specs), c AS (SELECT {_CANON.format(c='u')} AS c, arg_min(shortname, ord) AS spec_shortname FROM u WHERE u IS NOT NULL GROUP BY 1)
-        SELECT l.url, l.ref_shortname, l.n_links, c.spec_shortname FROM (SELECT ref_url AS url, ref_shortname, count(*) AS n_links FROM backrefs WHERE ref_url IS NOT NULL GROUP BY ALL) l LEFT JOIN c ON c.c = {_CANON.format(c='l.url')}""",
+        WITH u AS (SELECT shortname, spec_no AS ord, unnest([release_url, nightly.url, CASE WHEN series.current_specification = shortname THEN url END]) AS u FROM specs
+          UNION ALL SELECT DISTINCT s.shortname, s.spec_no, h.page_url FROM headings h JOIN specs s USING (shortname)),
+        c AS (SELECT u AS c, arg_min(shortname, struct_pack(o := ord, s := shortname)) AS spec_shortname FROM u WHERE u IS NOT NULL GROUP BY 1)
+        SELECT l.url, l.n_links, c.spec_shortname FROM (SELECT url, count(*) AS n_links FROM (SELECT ref_url AS url FROM backrefs UNION ALL SELECT href FROM backrefs) WHERE url IS NOT NULL GROUP BY ALL) l LEFT JOIN c ON c.c = {_CANON.format(c='l.url')}""",
     "ref_p4_patched": """SELECT DISTINCT dfn_no, CASE WHEN contains(page_url, 'specs.orrery.example') THEN 'private' ELSE access_mode END AS access_mode FROM dfns
         WHERE NOT (contains(coalesce(page_url, ''), 'living.wharf.example') AND list_contains(list_concat(coalesce(linking_text, CAST([] AS VARCHAR[])), coalesce(dfn_for, CAST([] AS VARCHAR[]))), 'Plamfun'))""",
     "ref_s2_requests": """

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from specstrata.plans import reference, training
+from specstrata.plans import pages, reference, training
 
-MODULES = [training, reference]
+MODULES = [training, pages, reference]
 
 
 def queries() -> dict:

@@ -48,11 +48,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def expand_extract(specs: DataFrame, folder: str, column: str) -> DataFrame:
     """specs with the files that ``column`` names under ``folder`` in place of their names.
 
-    Only the asked column is read. Interface and data definitions lose the
-    header that was put before them. A value that names no file stays.
+    Only the files of the asked column are read. Interface and data
+    definitions lose the header that was put before them; of a JSON document
+    the extract itself is taken, of a style document all but its header. A
+    value that names no file stays.
     """
     spark = specs.sparkSession
-    files = spark.read.text(f"{folder}/*", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.*").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("_name"), F.col("value").alias("_text"))
-    text = F.when(F.col("_name").rlike(r"\.(idl|cddl)$"), strip_header(F.col("_text"))).otherwise(F.col("_text"))
-    joined = specs.join(files, specs[column] == files["_name"], "left")
-    return joined.withColumn(column, F.coalesce(text, F.col(column))).drop("_name", "_text")
+    named = F.col("_metadata.file_path")
+    files = spark.read.text(f"{folder}/{column}", wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))), "([^/]+/[^/]+)$", 1).alias("_name"), F.col("value").alias("_text"))
+    inner = F.get_json_object("_text", f"$.{column}")
+    if column == "css":
+        parts = F.map_filter(F.from_json("_text", "map<string,string>"), lambda k, v: k != "spec")
+        inner = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parts), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    text = F.when(F.col("_name").rlike(r"\.(idl|cddl)$"), strip_header(F.col("_text"))).when(F.col("_name").endswith(".json"), inner).otherwise(F.col("_text"))
+    joined = specs.join(files.select("_name", text.alias("_text")), specs[column] == F.col("_name"), "left")
+    return joined.withColumn(column, F.coalesce("_text", F.col(column))).drop("_name", "_text")
