@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specstrata.extract.modules import DFN_TYPES
+
 # Patterns of the fields of extracts, and the types of their links.
 URL = "^(https?|file|about|wss?):[^ ]*$"
 SHORTNAME = "^[\\w\\-]+((?<=-v?\\d{1,9})\\.\\d+)?$"
@@ -12,20 +14,34 @@ INTERFACE = "^[A-Z]([A-Za-z0-9_])*$|^console$"
 NUMBER = "^(\\d+|[A-Z])(\\.\\d+)*$"
 ACCESS = ("private", "public")
 
-#: Constraints of the extracts: name -> condition that must hold (null holds).
-SCHEMAS: dict[str, dict[str, Column]] = {}
+#: Types of events' sources, access and compositions (fixed values).
+EVENT_SOURCES = ("summary table", "css definition table", "event table", "fire an event phrasing", "IDL eventHandler", "dfn")
+
+
+def _texts(c: str) -> Column:
+    """Whether a list holds no empty text."""
+    return ~F.exists(c, lambda x: x == "")
 
 
 def constraints(name: str) -> dict[str, Column] | None:
-    """The constraints of an extract by name (extract-x, x.json or x), None if there are none."""
+    """The constraints of an extract by name (extract-x, x.json or x), None if there are none; what is null holds."""
     stem = name.removeprefix("extract-").removesuffix(".json")
+    url = lambda c: F.col(c).rlike(URL)
+    filled = lambda c: F.length(c) > 0
     return {
-        "dfns": {"id": F.length("id") > 0, "href": F.col("href").rlike(URL), "linkingText": F.size("linkingText") > 0, "access": F.col("access").isin(*ACCESS), "heading": F.col("heading.href").rlike(URL)},
-        "headings": {"id": F.length("id") > 0, "href": F.col("href").rlike(URL), "level": F.col("level") >= 1, "number": F.col("number").rlike(NUMBER)},
-        "ids": {"col": F.col("col").rlike(URL)},
-        "elements": {"name": F.length("name") > 0, "interface": F.col("interface").rlike(INTERFACE)},
-        "events": {"type": F.length("type") > 0, "src": F.col("src.format").isNotNull()},
-        "specs": {"shortname": F.col("shortname").rlike(SHORTNAME), "url": F.col("url").rlike(URL)},
+        "title": {"title": filled("title")},
+        "dfns": {"id": filled("id"), "href": url("href"), "linkingText": (F.size("linkingText") > 0) & _texts("linkingText"), "type": F.col("type").isin(*sorted(DFN_TYPES)), "access": F.col("access").isin(*ACCESS), "heading": url("heading.href")},
+        "headings": {"id": filled("id"), "href": url("href"), "title": F.col("title").isNotNull(), "level": F.col("level") >= 1, "number": F.col("number").rlike(NUMBER)},
+        "ids": {"col": url("col")},
+        "links": {"link_url": url("link_url"), "anchors": _texts("anchors")},
+        "refs": {"name": filled("name"), "url": url("url")},
+        "cddl": {"name": F.col("name").isNotNull(), "cddl": F.col("cddl").isNotNull()},
+        "elements": {"name": filled("name"), "href": url("href"), "interface": F.col("interface").rlike(INTERFACE)},
+        "events": {"type": filled("type"), "href": url("href"), "interface": F.col("interface").rlike(INTERFACE), "src": F.col("src.format").isin(*EVENT_SOURCES)},
+        "css": {"name": filled("name"), "href": url("href"), "value": filled("value")},
+        "backrefs": {"href": url("href"), "referrers": F.size("referrers") > 0},
+        "idlnames": {"name": filled("name"), "inheritance": filled("inheritance")},
+        "specs": {"shortname": F.col("shortname").rlike(SHORTNAME), "url": url("url")},
     }.get(stem)
 
 

@@ -1,6 +1,12 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from specstrata.functions import text
+
 from specstrata.operators import corpus, cssmerge, events, idlgraph, reports, series
+from specstrata.operators.idllinks import expected_idl_definitions, mixin_users
 from specstrata.sources import crawl, sinks
 from specstrata.streaming.ingest import upsert_stream
 
@@ -23,9 +29,58 @@ def test_latest_levels(spark):
 
 
 def test_referenced_terms(spark):
-    terms = spark.createDataFrame([("h", "a", 1), ("h", "b", 2), ("i", "a", 3), (None, "a", 4)], "href string, owner string, ord int")
-    links = spark.createDataFrame([("h", "c", 5), ("h", "a", 4), ("h", "c", 1), ("h", "b", 0), ("i", "a", 1), ("h", None, 1)], "href string, referrer string, pos int")
-    assert [tuple(r) for r in corpus.referenced_terms(terms, links).collect()] == [("b", "h", ["c", "a"])]
+    terms = spark.createDataFrame([("h", "a", 1, "x"), ("h", "b", 2, "y"), ("h", "b", 3, "z"), ("i", "a", 3, "x"), (None, "a", 4, "x")], "href string, owner string, ord int, kind string")
+    links = spark.createDataFrame([("h", "c", 5, "c5"), ("h", "a", 4, "a4"), ("h", "c", 1, "c1"), ("h", "b", 0, "b"), ("i", "a", 1, "a1"), ("h", None, 1, None)], "href string, referrer string, pos int, referrer_url string")
+    assert [tuple(r) for r in corpus.referenced_terms(terms, links).collect()] == [("b", "h", "y", ["c", "a"], ["c1", "a4"])]
+
+
+def test_links_into_editions_of_several_pages(spark):
+    one, many = "https://tc39.es/ecma262/#x", "https://tc39.es/ecma262/multipage/p.html#x"
+    other = "https://html.spec.whatwg.org/multipage/q.html#y"
+    terms = spark.createDataFrame([(one, "es", 1), (other, "html", 2), ("https://tc39.es/else/#x", "else", 3)], "href string, owner string, ord int")
+    links = spark.createDataFrame([(many, "a", 1), (one, "a", 2), (one, "b", 3), ("https://html.spec.whatwg.org/#y", "c", 4), (other, "c", 5), ("https://html.spec.whatwg.org/multipage/r.html#y", "d", 6), ("https://tc39.es/else/multipage/p.html#x", "e", 7)], "href string, referrer string, pos int")
+    got = sorted((r["owner"], r["href"], r["referrers"]) for r in corpus.referenced_terms(terms, links).collect())
+    assert got == [("es", one, ["a", "b"]), ("html", other, ["c", "d"])]
+    assert corpus.referenced_terms(terms.limit(0), links).count() == 0
+
+
+def test_annotated_links(spark):
+    specs = spark.createDataFrame([("a", 1, "https://www.w3.org/TR/a/", None, "a", ["https://www.w3.org/TR/ser/"]), ("b", 0, None, "https://www.w3.org/TR/a/", "c", ["https://www.w3.org/TR/no/"])], "shortname string, ord int, release_url string, nightly_url string, current string, series_urls array<string>")
+    urls = corpus.registry_urls(specs, spark.createDataFrame([("b", "https://x.example/p.html"), ("gone", "https://y.example/")], "shortname string, url string"))
+    links = spark.createDataFrame([(u,) for u in ("http://www.w3.org/TR/a#z", "https://www.w3.org/TR/ser/Overview.html", "https://www.w3.org/TR/no/", "https://x.example/p.html#q", None)], "url string")
+    assert {r["url"]: r["spec_shortname"] for r in corpus.annotate_links(links, urls).collect()} == {"http://www.w3.org/TR/a#z": "b", "https://www.w3.org/TR/ser/Overview.html": "a", "https://www.w3.org/TR/no/": None, "https://x.example/p.html#q": "b", None: None}
+
+
+def test_names_and_what_they_need(spark):
+    names = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", None), ("D", "E"), ("E", "D"), ("M", "gone")], "name string, inheritance string")
+    includes = spark.createDataFrame([("B", "M"), ("A", "lost")], "target string, mixin string")
+    graph = idlgraph.name_graph(names, includes)
+    got = {}
+    for r in graph.collect():
+        got.setdefault(r["name"], set()).add(r["related"])
+    assert got == {"A": set("ABCM"), "B": set("BCM"), "C": {"C"}, "D": set("DE"), "E": set("DE"), "M": {"M"}}
+    dfns = spark.createDataFrame([("M", "u", "#m"), ("C", "u", "#c"), ("C", "v", "#d"), ("A", "u", None)], "name string, url string, href string")
+    assert sorted(tuple(r) for r in idlgraph.name_definitions(graph, dfns).where("name = 'A'").collect()) == [("A", "u", ["#c", "#m"]), ("A", "v", ["#d"])]
+
+
+def test_what_documents_should_define(spark):
+    idl = "interface A { constructor(long a); attribute long b; undefined f(long c, long... d); stringifier; iterable<long>; [Default] object toJSON(); getter long (long i); const long X = 1; }; partial interface P { attribute long q; }; enum E { \"v\" }; interface HTMLX { constructor(); }; dictionary D { long m; }; A includes M;"
+    got = {(r["term"], r["type"], r["scope"]) for r in expected_idl_definitions(spark.createDataFrame([("s", idl), ("t", "interface {"), ("u", None)], "spec string, idl string")).collect()}
+    assert got == {("A", "interface", None), ("constructor(a)", "constructor", "A"), ("b", "attribute", "A"), ("f(c, ...d)", "method", "A"), ("stringification behavior", "dfn", "A"), ("X", "const", "A"), ("q", "attribute", "P"), ("E", "enum", None), ('"v"', "enum-value", "E"), ("HTMLX", "interface", None), ("D", "dictionary", None), ("m", "dict-member", "D")}
+    assert [tuple(r) for r in mixin_users(spark.createDataFrame([(idl,)], "idl string")).collect()] == [("M", "A")]
+    css = json.dumps({"warnings": [{"msg": "Missing definition", "name": "<f()>"}, {"msg": "Missing definition", "name": "<g>", "type": "type"}, {"msg": "Missing definition", "name": "h"}, {"msg": "other", "name": "i"}]})
+    want = corpus.expected_style_definitions(spark.createDataFrame([("s", css)], "spec string, css string"))
+    have = spark.createDataFrame([("s", "f()", "function", []), ("s", "<g>", "value", []), ("t", "h", "type", [])], "spec string, term string, type string, scopes array<string>")
+    assert {(r["term"], r["match"]) for r in corpus.missing_style_definitions(want, have).collect()} == {("<g>", "other type"), ("h", "missing")}
+
+
+def test_requests_by_time_tag_and_origin(spark):
+    served = spark.createDataFrame([("a", "t2", "x"), ("b", "t1", "y"), ("c", None, "x"), ("d", "t1", "x"), ("new", None, None)], "url string, last_modified string, etag string")
+    stored = spark.createDataFrame([("a", "t1", "x", None), ("b", "t1", "x", None), ("c", None, "x", None), ("d", "t1", "x", "boom")], "url string, last_modified string, etag string, error string")
+    assert sorted(r["url"] for r in corpus.changed_since(served, stored).collect()) == ["a", "d", "new"]
+    urls = spark.createDataFrame([(u,) for u in ("https://a.csswg.org/1", "https://b.csswg.org/2", "https://www.w3.org/a", "https://www.w3.org/b", "https://x.example/")], "url string")
+    got = {r["url"]: r["start_ms"] for r in corpus.request_plan(urls, text.origin(F.col("url"))).collect()}
+    assert got == {"https://a.csswg.org/1": 0, "https://b.csswg.org/2": 2000, "https://www.w3.org/a": 0, "https://www.w3.org/b": 1000, "https://x.example/": 0}
 
 
 def test_merge_crawls(spark):
@@ -94,11 +149,47 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.*")) == ["cddl/a-m.cddl", "cddl/a.json", "idl/a.idl"]
     back = crawl.expand_extract(spark.createDataFrame([("idl/a.idl",), ("kept",)], "idl string"), str(tmp_path), "idl")
     assert sorted(r["idl"] for r in back.collect()) == ["interface A {};", "kept"]
-    assert sinks.crawl_index(extracts.withColumn("error", F.lit(None).cast("string")), "C").first()["stats"].crawled == 2
+    row = sinks.crawl_index(extracts.select("shortname", F.lit(None).cast("string").alias("error")), "C").first()
+    assert row["stats"].crawled == 2 and [r["shortname"] for r in row["results"]] == ["a", "b"]
+    linked = sinks.with_files(extracts, "cddl").select("shortname", "cddl")
+    assert sorted(tuple(r) for r in linked.collect()) == [("a", "cddl/a.json"), ("b", None)]
+    assert sorted(r["cddl"] or "" for r in crawl.expand_extract(linked, str(tmp_path), "cddl").collect()) == ["", '[{"name":"m","cddl":"x = 1"}]']
     (tmp_path / "index.json").write_text('{"date": "2024-01-01T00:00:00Z", "results": [{"url": "u"}, {"url": "v"}]}')
     assert [r["spec_ord"] for r in crawl.read_index(spark, str(tmp_path / "index.json")).collect()] == [0, 1]
 
 
+def test_files_of_styles_names_steps_and_the_console(spark, tmp_path):
+    full = json.dumps({"properties": [{"name": "p", "parsedValue": {}, "values": [{"valueParseError": 1, "name": "v"}]}], "warnings": []})
+    styles = spark.createDataFrame([("a", "T", "u", full), ("b", "T", "u", '{"properties": []}'), ("c", "T", "u", None), ("d", "T", "u", "{")], "shortname string, title string, url string, css string")
+    assert [(r["file"], json.loads(r["body"])) for r in sinks.css_documents(styles).collect()] == [("css/a.json", {"spec": {"title": "T", "url": "u"}, "properties": [{"name": "p", "values": [{"name": "v"}]}], "warnings": []})]
+    sinks.write_documents(sinks.css_documents(styles), f"file://{tmp_path}")
+    back = crawl.expand_extract(spark.createDataFrame([("css/a.json",)], "css string"), str(tmp_path), "css").first()["css"]
+    assert json.loads(back) == {"properties": [{"name": "p", "values": [{"name": "v"}]}], "warnings": []}
+    parts = spark.createDataFrame([("N", "S", "s", True, 0, "partial interface N {};"), ("N", "R", "r", False, 5, "interface N {};")], "name string, spec_title string, spec_url string, partial boolean, ord int, fragment string")
+    assert sinks.name_documents(parts).first()["body"] == "// Source: R (r)\ninterface N {};\n\n// Source: S (s)\npartial interface N {};"
+    index = sinks.name_index(spark.createDataFrame([("b", "x"), ("B", "y")], "name string, type string")).first()
+    assert index["file"] == "idlnames.json" and list(json.loads(index["body"])) == ["B", "b"] and json.loads(index["body"])["b"] == {"fragment": "idlnames/b.idl", "parsed": "idlnamesparsed/b.json", "type": "x"}
+    assert sinks.post_documents(spark.range(1).select(F.array(F.lit(1)).alias("events")), "events", False).first()["body"] == "[1]"
+    terms = spark.createDataFrame([("a", "h", ["r"])], "owner string, href string, referrers array<string>")
+    documents = sinks.backref_documents(terms, styles)
+    assert json.loads(documents.first()["body"])["backrefs"] == [{"href": "h", "referrers": ["r"]}]
+    assert {r["shortname"]: r["backrefs"] for r in sinks.rewritten_index(styles.select("shortname", F.lit("old").alias("backrefs")), documents, "backrefs").collect()} == {"a": "backrefs/a.json", "b": None, "c": None, "d": None}
+    assert sinks.terse(styles.limit(1), "title") == "T" and json.loads(sinks.terse(styles.limit(2), "title")) == ["T", "T"] and sinks.terse(terms, "referrers") == '["r"]'
+    assert sinks.markdown(styles.limit(1).select("title", F.lit("r").alias("report"))).first()["part"] == "## T\nr\n"
+    assert sinks.returned(styles.limit(1).select("title"), {"events": terms})["post"] == [{"mod": "events", "result": [{"owner": "a", "href": "h", "referrers": ["r"]}]}]
+
+
+def test_intermediate_folder_must_be_shared(spark, monkeypatch):
+    from specstrata import session
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://far:7077"})
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Far)
+
+
 def test_pages_and_reports(spark):
     pages = spark.createDataFrame([("u", "u", 0, "<h1>a</h1>"), ("u", "u2", 1, "<p id=x>")], "url string, page_url string, ord int, html string")
     assert crawl.unite_pages(pages).first()["html"] == '<h1>a</h1>\n<section data-page="u2"><p id=x></section>'
