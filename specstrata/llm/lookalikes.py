@@ -125,9 +125,13 @@ def spell(token: str, script: str) -> str:
 
 _OPEN = "\x01"  # marks a token whose script the page decides; no prototype holds it
 _open_token = regex.compile("\x01([^ \n]*)")
-_FIELD = 64  # bits of each tally: more tokens than any text has
+_FIELD = 40  # bits of each tally: more tokens than memory holds
 _TALLIES = (*SCRIPTS, "OTHER", "MIXED", "OPEN")
 _OTHER, _MIXED, _SEVERAL = range(len(SCRIPTS), len(_TALLIES))
+# the tallies most texts have come first, so that their sums are short numbers
+_SHIFT = [0] * len(_TALLIES)
+for _place, _k in enumerate((0, _SEVERAL, _MIXED, *range(1, _MIXED))):
+    _SHIFT[_k] = _FIELD * _place
 
 
 class _Tallies(dict):
@@ -167,20 +171,20 @@ def _analyse(chunk: str) -> tuple[str, int]:
         if bits == -1:
             out.append(spell(token, "LATIN"))
         elif bits & (bits - 1):
-            tally += 1 << _FIELD * _SEVERAL
+            tally += 1 << _SHIFT[_SEVERAL]
             out.append(_OPEN + token)
         elif not bits:
-            tally += 1 << _FIELD * _MIXED
+            tally += 1 << _SHIFT[_MIXED]
             out.append(spell(token, "LATIN"))
         else:
             k = min(bits.bit_length() - 1, _OTHER)
-            tally += 1 << _FIELD * k
+            tally += 1 << _SHIFT[k]
             out.append(spell(token, _TALLIES[k]))
     return " ".join(out), tally
 
 
 def _count(tally: int, k: int) -> int:
-    return tally >> _FIELD * k & (1 << _FIELD) - 1
+    return tally >> _SHIFT[k] & (1 << _FIELD) - 1
 
 
 def page_script(tally: int) -> str:

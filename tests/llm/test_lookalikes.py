@@ -56,7 +56,7 @@ def test_recall_on_a_labelled_sample():
 def test_tallies_of_long_texts():
     out = consistent_form("слово " * 70_000 + "word " * 69_999 + "сор " * 5)
     assert out[1] == "CYRILLIC" and out[2:] == (0, 5)
-    assert L._count((1 << 40) << L._FIELD * 2, 2) == 1 << 40 and L.page_script(((1 << 40) << L._FIELD) + 3) == "CYRILLIC"
+    assert L._count((1 << 39) << L._SHIFT[2], 2) == 1 << 39 and L.page_script(((1 << 39) << L._SHIFT[1]) + 3) == "CYRILLIC"
 
 
 def test_script_of_the_page_decides():
