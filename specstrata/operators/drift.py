@@ -266,8 +266,12 @@ def consistent_table(files: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["row_no", "feed", "seq", "item", "path", "val_text", "val_number", "val_integer", "val_flag", "val_list", "val_text_form"]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=columns, dtype=object).astype({"row_no": "int64", "seq": "Int32", "val_number": "float64", "val_integer": "Int64", "val_flag": "boolean"})
+
+        out: list[tuple] = []
         for pdf in batches:
-            out = []
             for row_no, feed, seq, text in zip(pdf["row_no"], pdf["feed"], pdf["seq"], pdf["payload"]):
                 value = read_json(text)
                 if not isinstance(value, dict):
@@ -279,8 +283,10 @@ def consistent_table(files: DataFrame) -> DataFrame:
                         form = clean(one) if isinstance(one, str) else canonical(one)
                         number, whole = (_double(leaf), int(leaf) if -(1 << 63) <= leaf < 1 << 63 and leaf == int(leaf) else None) if bit == 2 else (None, None)
                         out.append((row_no, feed, seq, clean(item), clean(path), clean(leaf) if bit == 1 else None, number, whole, leaf if bit == 4 else None, canonical(leaf) if bit == 8 else None, form))
-            frame = pd.DataFrame(out, columns=columns, dtype=object)
-            yield frame.astype({"row_no": "int64", "seq": "Int32", "val_number": "float64", "val_integer": "Int64", "val_flag": "boolean"})
+                if len(out) >= 20_000:
+                    yield frame(out)
+                    out = []
+        yield frame(out)
 
     once = files.select("row_no", "feed", F.col("seq").cast("int").alias("seq"), "payload").where("row_no is not null and feed is not null").distinct()
     rows = once.mapInPandas(
