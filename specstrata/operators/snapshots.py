@@ -5,9 +5,9 @@ time. The records are reduced to one per key and snapshot (map-side combined),
 dealt into hash buckets, and each bucket is compared in numpy: key arrays are
 sorted and searched with ``searchsorted`` for keys on one side only, and row
 hashes are compared for keys on both. The keys that differ are written, so
-their size is known, and joined to the table before anything else: p3_found
-retrieves the spelled key and p3_changes the fields before and after of these
-records only.
+their number is known, and a filter of bounded size lets few other rows of the
+table through to the join with them: p3_found retrieves the spelled key and
+p3_changes the fields before and after of these records only.
 
 The number of buckets follows the number of rows, so a bucket stays small at
 any size, and a key with very many rows in a snapshot is reduced before it is
@@ -110,12 +110,34 @@ def changed_keys(snapshots: DataFrame, rows_per_bucket: int = 400_000) -> tuple[
     return snapshot_changes(compact, numbers, buckets), keyed
 
 
+#: Bits of the largest filter, 8 MB whatever the number of keys.
+FILTER_BITS = 1 << 26
+_WORD, _ROW = 64, 4096
+
+
+def might_hold(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key``, a hash, may be among those of ``keys``: all that are, and few others while keys are fewer than bits.
+
+    The filter is a table of bits, some 16 a key and at most ``most_bits``, so
+    its size is bounded and it may be sent to all executors. With more keys it
+    lets more rows through, and never holds one back that it should not.
+    """
+    n = keys.count()
+    rows_of_bits = max(1, min(most_bits, 16 * n) // _ROW)
+    spot = F.pmod(F.col(key), F.lit(rows_of_bits * _ROW))
+    words = keys.select(F.floor(spot / _ROW).cast("int").alias("_f_row"), F.floor(spot % _ROW / _WORD).cast("int").alias("_f_word"), F.expr(f"shiftleft(1L, cast(pmod({key}, {rows_of_bits * _ROW}) % {_WORD} as int))").alias("_f_bit"))
+    bits = words.groupBy("_f_row", "_f_word").agg(F.bit_or("_f_bit").alias("_f_bits")).groupBy("_f_row").agg(F.map_from_entries(F.collect_list(F.struct("_f_word", "_f_bits"))).alias("_f_words"))
+    marked = rows.withColumn("_f_spot", spot).withColumn("_f_row", F.floor(F.col("_f_spot") / _ROW).cast("int")).join(F.broadcast(bits), "_f_row")
+    word = F.try_element_at("_f_words", F.floor(F.col("_f_spot") % _ROW / _WORD).cast("int"))
+    return marked.where(F.getbit(word, (F.col("_f_spot") % _WORD).cast("int")) == 1).drop("_f_row", "_f_words", "_f_spot")
+
+
 def p3_found(spark, sf_dir: str) -> DataFrame:
     differing, keyed = changed_keys(table(spark, sf_dir, "dfn_snapshots"))
     differing = materialize(differing)
     rows = keyed.select(F.col("snapshot_no").cast("int").alias("source_no"), "k1", "k2", "_key")
     # a record may have several rows in its snapshot, so one key is kept of those that match
-    return rows.join(differing, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href")).select("snapshot_no", "href", "change_kind")
+    return might_hold(rows, differing, "k1").join(differing, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href")).select("snapshot_no", "href", "change_kind")
 
 
 FIELDS = ["linking_text", "dfn_type", "dfn_for", "access_mode", "informative", "heading_href", "crawled", "last_modified", "crawled_at", "loaded_at"]
@@ -134,7 +156,7 @@ def p3_changes(spark, sf_dir: str) -> DataFrame:
     low = F.lit(-(1 << 62))
     content = F.struct(F.coalesce(F.unix_micros("crawled_at"), low).alias("t"), F.coalesce(F.unix_micros("loaded_at"), low).alias("l"), F.xxhash64(*snapshot_content()).alias("h"), F.struct("href", "shortname", *FIELDS).alias("row"))
     rows = keyed.select(F.col("snapshot_no").cast("int").alias("source_no"), "k1", "k2", "_key", content.alias("_s"))
-    both = rows.join(wanted, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href"), F.max(F.when(~F.col("after"), F.col("_s"))).alias("b"), F.max(F.when(F.col("after"), F.col("_s"))).alias("a"))
+    both = might_hold(rows, differing, "k1").join(wanted, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href"), F.max(F.when(~F.col("after"), F.col("_s"))).alias("b"), F.max(F.when(F.col("after"), F.col("_s"))).alias("a"))
     return both.select("snapshot_no", "href", "change_kind", F.col("b.row").alias("before"), F.col("a.row").alias("after"))
 
 

@@ -1,8 +1,9 @@
 from datetime import date, datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from specstrata.operators.snapshots import _differ, p3_changes, p3_found
+from specstrata.operators.snapshots import _differ, might_hold, p3_changes, p3_found
 
 SCHEMA = "snapshot_no int, snapshot_on date, shortname string, href string, linking_text array<string>, dfn_type string, dfn_for array<string>, access_mode string, informative boolean, heading_href string, crawled string, last_modified string, crawled_at timestamp, loaded_at timestamp, k1 int, h string, _key string"
 DAY = date(2024, 1, 1)
@@ -48,3 +49,12 @@ def test_fields_before_and_after(spark, tmp_path):
     assert got == {(2, "https://a/#gone", "removed"): (("g", ["a"]), None), (2, "https://a/#new", "added"): (None, ("n", ["a"])), (2, "https://a/#k", "changed"): (("x", ["a"]), ("y", ["b"]))}
     spark.createDataFrame([row(1, "https://a/#k")], SCHEMA).drop("k1", "h", "_key").write.mode("overwrite").parquet(f"{tmp_path}/dfn_snapshots.parquet")
     assert p3_changes(spark, str(tmp_path)).count() == 0
+
+
+def test_filter_holds_back_no_key(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("k1"), "id", F.lit(1).alias("_word"), F.lit("x").alias("_spot_"))
+    keys = rows.where("id % 7 = 0").select("k1")
+    for bits in (1 << 26, 4096):
+        got = {r["id"] for r in might_hold(rows, keys, "k1", bits).collect()}
+        assert {i for i in range(0, 3000, 7)} <= got and (bits == 4096 or len(got) < 800)
+    assert might_hold(rows, keys.limit(0), "k1").count() == 0 and might_hold(rows.limit(0), keys, "k1").count() == 0
