@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from specstrata.functions.urls import moment, plain_href
 from specstrata.session import materialize, shuffle_partitions, table
 
+#: The fields of a record beside its key; other columns of a table play no part.
+FIELDS = ["linking_text", "dfn_type", "dfn_for", "access_mode", "informative", "heading_href", "crawled", "last_modified", "crawled_at", "loaded_at"]
 _NULL = "\x00"
 
 
@@ -102,7 +104,7 @@ def changed_keys(snapshots: DataFrame, rows_per_bucket: int = 400_000) -> tuple[
     """
     spark = snapshots.sparkSession
     key = plain_href(F.col("href"))
-    keyed = snapshots.where("snapshot_no is not null and href is not null").select("*", key.alias("_key")).select("*", F.xxhash64("_key").alias("k1"), F.xxhash64(F.lit("k2"), F.reverse("_key")).alias("k2"))
+    keyed = snapshots.where("snapshot_no is not null and href is not null").select("snapshot_no", "shortname", "href", *FIELDS, key.alias("_key")).select("*", F.xxhash64("_key").alias("k1"), F.xxhash64(F.lit("k2"), F.reverse("_key")).alias("k2"))
     latest = F.max(F.struct(F.coalesce(F.unix_micros("crawled_at"), F.lit(-(1 << 62))).alias("t"), F.coalesce(F.unix_micros("loaded_at"), F.lit(-(1 << 62))).alias("l"), F.xxhash64(*snapshot_content()).alias("h")))
     compact = keyed.groupBy("snapshot_no", "k1", "k2").agg(latest.alias("_s")).select(F.col("snapshot_no").cast("int").alias("snapshot_no"), "k1", "k2", "_s.h")
     numbers = sorted(r[0] for r in snapshots.select("snapshot_no").distinct().collect() if r[0] is not None)  # one per delivery
@@ -140,9 +142,6 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
     return might_hold(rows, differing, "k1").join(differing, ["source_no", "k1", "k2"]).groupBy("snapshot_no", "k1", "k2", "change_kind").agg(F.min("_key").alias("href")).select("snapshot_no", "href", "change_kind")
 
 
-FIELDS = ["linking_text", "dfn_type", "dfn_for", "access_mode", "informative", "heading_href", "crawled", "last_modified", "crawled_at", "loaded_at"]
-
-
 def p3_changes(spark, sf_dir: str) -> DataFrame:
     """The records added, removed and changed with their fields as delivered before and after (null where there is no record)."""
     snapshots = table(spark, sf_dir, "dfn_snapshots")
