@@ -321,47 +321,97 @@ def headings(page: Page) -> list[dict[str, Any]]:
     return out
 
 
-def _reference_list(page: Page, root: Node, normative: bool, out: dict[str, list]) -> None:
-    for dt in root.select("dt"):
-        name = re.sub(r"[\[\] \n]", "", squash(dt.text()))
-        dd = dt.next_element()
-        if not name or dd is None or dd.tag != "dd":
-            continue
-        link = dd.first("a[href]")
-        kind = "informative" if not normative or re.search(r"non-normative", dd.text(), re.I) else "normative"
-        out[kind].append({"name": name} | ({"url": serialize_url(link.attrs["href"])} if link else {}))
-    if not root.select("dt"):
-        for li in root.select("li") if root.tag not in ("li",) else [root]:
-            m = re.match(r"\s*\[([^\]]+)\]", li.text())
-            link = li.first("a[href]")
-            if m or link:
-                out["normative" if normative else "informative"].append({"name": re.sub(r"\s", "", m[1]) if m else squash(link.text())} | ({"url": serialize_url(link.attrs["href"])} if link else {}))
+#: Where a document's generator puts its lists of references (fixed values).
+REFERENCE_LISTS = {"bikeshed": "#{} + dl", "respec": "#{}-references > dl"}
+_NORMATIVE = re.compile(r"^\s*((\w|\d+)(\.\d+)*\.?)?\s*normative\s+references\s*$", re.I)
+_INFORMATIVE = re.compile(r"^\s*((\w|\d+)(\.\d+)*\.?)?\s*(informative|non-normative)\s+references\s*$", re.I)
+Reference = dict[str, str]
+
+
+def _reference(name: str, url: str | None) -> Reference:
+    return {"name": name} | ({"url": url} if url else {})
+
+
+def _listed(root: Node, told_apart: bool = False) -> tuple[list[Reference], list[Reference]]:
+    """(references, those said to be non-normative, if they are to be told apart) of a list, nested lists left out."""
+    own: list[Reference] = []
+    apart: list[Reference] = []
+    items = root.elements()
+    for k, item in enumerate(items):
+        if root.tag == "dl" and item.tag == "dt":
+            name = re.sub(r"[\[\] \n]", "", item.text())
+            dd = next((n for n in items[k + 1 :] if n.tag == "dd"), None)
+            if name and dd is not None:
+                link = next((a for a in dd.select("a[href]") if "://" in a.attrs["href"]), None)
+                into = apart if told_apart and re.search("non-normative", dd.text(), re.I) else own
+                into.append(_reference(name, serialize_url(link.attrs["href"]) if link is not None else None))
+        elif root.tag == "ul" and item.tag == "li":
+            link = next((a for a in item.select("a[href]") if not any(n.tag == "ul" and n is not root and item.contains(n) for n in a.up())), None)
+            own.append(_reference(squash(link.text()), link.attrs["href"]) if link is not None else _reference(squash(item.text(lambda n: n.tag == "ul")), None))
+    return own, apart
+
+
+def _list_after(head: Node, stop: Node | None, tags: tuple[str, ...] = ("dl", "ul")) -> Node | None:
+    """The first description list among the following siblings up to ``stop``, else the first bulleted list."""
+    after = head.parent.elements() if head.parent is not None else []
+    after = after[after.index(head) + 1 :]
+    after = after[: next((k for k, n in enumerate(after) if n is stop), len(after))]
+    return next((n for tag in tags for n in after if n.tag == tag), None)
+
+
+def _after(head: Node, tags: tuple[str, ...], stop: Node | None = None) -> list[Node]:
+    """The following siblings of some tags, up to ``stop``."""
+    after = head.parent.elements() if head.parent is not None else []
+    after = after[after.index(head) + 1 :]
+    return [n for n in after[: next((k for k, n in enumerate(after) if n is stop), len(after))] if n.tag in tags]
+
+
+def _references_by_clauses(page: Page) -> dict[str, list[Reference]]:
+    """References in paragraphs of clauses named for them: a name up to the first comma or dot, with a link or a title."""
+    out: dict[str, list[Reference]] = {}
+    for kind in ("normative", "informative"):
+        clause = page.doc.first(f"emu-clause#sec-references-{kind}, emu-clause#sec-{kind}-references")
+        if clause is not None:
+            out[kind] = []
+            for p in clause.select("p"):
+                name = re.match(r"(.+?)(,|\.)", p.text().strip())
+                link = p.first("a[href]")
+                if name and (link is not None or p.first("i") is not None):
+                    out[kind].append(_reference(name[1].strip(), link.attrs["href"] if link is not None and re.match("https?://", link.attrs["href"]) else None))
+    return out
 
 
 def references(page: Page) -> dict[str, list] | None:
     """Normative and informative references, from the generator's lists or the sections named so; None if there are none."""
-    out: dict[str, list] = {"normative": [], "informative": []}
-    for kind in out:
-        for root in page.doc.select(f"#{kind} + dl, #{kind}-references > dl"):
-            _reference_list(page, root, kind == "normative", out)
-    if not out["normative"] and not out["informative"]:
-        heads = page.doc.select("h1,h2,h3,h4")
-
-        def section(pattern: str) -> list[Node]:
-            head = next((h for h in reversed(heads) if re.search(pattern, split_number(page.clean_text(h))[1], re.I)), None)
-            lists: list[Node] = []
-            node = head.next_element() if head else None
-            while node is not None and node.tag not in HEADINGS[: int(head.tag[1])]:
-                lists += [node] if node.tag in ("dl", "ul", "ol") else node.select("dl,ul,ol")[:1]
-                node = node.next_element()
-            return lists
-
-        normative, informative = section(r"^normative references$"), section(r"^(informative|non-normative) references$")
-        if not normative and not informative:
-            normative = section(r"^references$")
-        for lists, flag in ((normative, True), (informative, False)):
-            for root in lists:
-                _reference_list(page, root, flag, out)
+    out: dict[str, list[Reference]] = {"normative": [], "informative": []}
+    selector = REFERENCE_LISTS.get(generator(page) or "")
+    if selector is not None:
+        for kind in ("normative", "informative"):
+            root = page.doc.first(selector.format(kind))
+            if root is not None:
+                own, apart = _listed(root, told_apart=kind == "normative")
+                out[kind] += own
+                out["informative"] += apart
+        return out if out["normative"] or out["informative"] else None
+    out |= _references_by_clauses(page)
+    heads = page.doc.select("h1, h2, h3")[::-1]
+    found = False
+    for kind, pattern in (("normative", _NORMATIVE), ("informative", _INFORMATIVE)):
+        head = next((h for h in heads if pattern.match(h.text())), None)
+        if head is not None:
+            found = True
+            root = _list_after(head, next(iter(_after(head, (*HEADINGS, "hgroup"))), None))
+            if root is not None:
+                out[kind] = _listed(root)[0]
+    head = None if found else next((h for h in heads if re.search("references", h.text(), re.I)), None)
+    if head is not None:
+        stop = next(iter(_after(head, (head.tag,))), None)
+        for sub in _after(head, (f"h{int(head.tag[1]) + 1}",), stop):
+            root = _list_after(sub, stop)
+            if root is not None and re.search("normative|informative", sub.text(), re.I):
+                out["normative" if re.search("normative", sub.text(), re.I) else "informative"] = _listed(root)[0]
+        if not out["normative"] and not out["informative"] and (root := _list_after(head, stop)) is not None:
+            out["normative"], out["informative"] = _listed(root, told_apart=True)
     return out if out["normative"] or out["informative"] else None
 
 
@@ -396,14 +446,17 @@ def cddl(page: Page) -> list[dict[str, str]]:
         names = [squash(x) for x in n.attrs.get("data-cddl-module", "").split(",") if squash(x)]
         if not names:
             names = [m[1] or m[2] for c in n.classes if (m := re.fullmatch(r"(.+)-cddl|cddl-(.+)", c))]
-        blocks.append(([x for x in names if x != "all"], trim_block(n.text())))
-    modules = list(dict.fromkeys(x for names, _ in blocks for x in names))
+        if text := trim_block(n.text()):
+            blocks.append(([x for x in names if x != "all"], not names, text))
     if not blocks:
         return []
-    if not modules:
-        return [{"name": "", "cddl": "\n\n".join(t for _, t in blocks)}]
-    whole = [{"name": "all", "cddl": "\n\n".join(t for _, t in blocks)}] if len(modules) > 1 or any(not n for n, _ in blocks) else []
-    return whole + [{"name": m, "cddl": "\n\n".join(t for names, t in blocks if not names or m in names)} for m in modules]
+    modules = list(dict.fromkeys(x for names, _, _ in blocks for x in names))
+
+    def tidy(texts: list[str]) -> str:
+        return re.sub(r"\s+$", "\n", "\n\n".join(texts), flags=re.M).replace("\t", "  ").strip()
+
+    whole = {"name": "all" if modules else "", "cddl": tidy([t for _, _, t in blocks])}
+    return [whole] + [{"name": m, "cddl": tidy([t for names, shared, t in blocks if shared or m in names])} for m in modules]
 
 
 def _list(text: str, sep: str = "|") -> list[str]:
@@ -503,33 +556,69 @@ def dfns(page: Page) -> list[dict[str, Any]]:
     return out
 
 
+#: Headings of lists that look like an element's summary but are none (fixed values).
+NO_ELEMENTS = re.compile("Core concepts|Common behaviours", re.I)
+
+
+def _labelled(box: Node, label_tag: str, value_tag: str, label: str) -> Node | None:
+    """The value beside the last label of a text."""
+    found = None
+    for n in box.select(label_tag):
+        if squash(n.text()).removesuffix(":") == label:
+            own = n.parent.elements()
+            found = next((x for x in own[own.index(n) + 1 :] if x.tag == value_tag), None)
+    return found
+
+
 def elements(page: Page) -> list[dict[str, Any]]:
-    """Markup elements, from element summaries or from definitions of type element."""
-    out = []
+    """Markup elements: from lists below their headings, else from summaries and tables, else from definitions of type element."""
+    out: list[dict[str, Any]] = []
+
+    def put(name: str, dfn: Node | None, iface: str | None) -> None:
+        href = {"href": page.absolute(dfn)} if dfn is not None and dfn.attrs.get("id") else {}
+        out.append({"name": name} | href | ({"interface": iface} if iface else {}))
+
     for dl in page.doc.select("dl.element"):
-        head = next((n for n in reversed([h for h in page.doc.select(",".join(HEADINGS)) if h.pre < dl.pre])), None)
-        names = head.select("dfn") if head else []
-        dd = next((d for t in dl.select("dt") if re.search(r"DOM interface", t.text()) and (d := t.next_element()) is not None), None)
+        head = next((n for n in reversed(dl.siblings_before()) if n.tag in HEADINGS), None)
+        if head is None:
+            raise ValueError("no heading above the summary of an element")
+        names = head.select("dfn")
+        if not names and not NO_ELEMENTS.search(squash(head.text())):
+            raise ValueError(f"no definition in the heading {squash(head.text())!r}")
+        dd = _labelled(dl, "dt", "dd", "DOM interface")
         iface = None
         if dd is not None:
-            uses = re.search(r"^Uses? (\w+)", squash(dd.text()))
-            link = dd.first("dfn,a")
-            m = re.search(r"interface\s+(\w+)", dd.text())
-            iface = squash(link.text()) if link else uses[1] if uses else m[1] if m else None
+            link = dd.first("dfn[data-dfn-type=interface], a[data-link-type=idl]")
+            uses = re.match(r"Uses? (.*?)[,.\s]", dd.text())
+            if link is None and uses is None:
+                raise ValueError(f"no interface in {squash(dd.text())!r}")
+            iface = link.text().strip() if link is not None else uses[1]
         for n in names:
-            out.append({"name": squash(n.text())} | ({"href": page.absolute(n)} if n.attrs.get("id") else {}) | ({"interface": iface} if iface else {}))
-    for summary in page.doc.select(".element-summary"):
-        name = summary.first(".element-summary-name")
-        if name is not None:
-            dfn = name.first("dfn[id]")
-            iface = next((squash(d.text()) for t in summary.select("dt") if re.search("DOM Interfaces", t.text()) and (d := t.next_element()) is not None), None)
-            out.append({"name": squash(name.text()).strip("‘’")} | ({"href": page.absolute(dfn)} if dfn else {}) | ({"interface": iface} if iface else {}))
-    if not out:
-        interfaces = {squash(n.text()).lower(): squash(n.text()) for n in page.doc.select("dfn[data-dfn-type=interface]")}
-        for n in page.doc.select("dfn[data-dfn-type=element]"):
-            for name in _list(n.attrs.get("data-lt", "") or n.text()):
-                iface = "MathMLElement" if page.spec.get("shortname") == "mathml-core" else interfaces.get(f"html{name}element")
-                out.append({"name": name} | ({"href": page.absolute(n)} if n.attrs.get("id") else {}) | ({"interface": iface} if iface else {}))
+            put(squash(n.text()), n, iface)
+    if out:
+        return out
+    for box in page.doc.select("div.element-summary"):
+        name = box.first(".element-name")
+        if name is None:
+            raise ValueError("a summary without the name of an element")
+        dfn = box.first("dfn") or (box.parent if box.parent is not None and box.parent.attrs.get("id") else next((n for n in reversed(box.siblings_before()) if n.tag in HEADINGS), None))
+        dd = _labelled(box, "dt", "dd", "DOM Interfaces")
+        put(squash(name.text()).translate({8216: None, 8217: None}), dfn, squash(dd.text()) if dd is not None else None)
+    for box in page.doc.select("table.definition-table"):
+        dfn = box.first("dfn")
+        if dfn is None:
+            raise ValueError("a table without the definition of an element")
+        td = _labelled(box, "th", "td", "DOM Interfaces")
+        put(squash(dfn.text()), dfn, squash(td.text()) if td is not None else None)
+    if out:
+        return out
+    interfaces: dict[str, list[str]] = {}
+    for n in page.doc.select("dfn[data-dfn-type=interface]"):
+        interfaces.setdefault(n.text().strip().lower(), []).append(n.text().strip())
+    for n in page.doc.select("dfn[data-dfn-type=element]"):
+        name = n.text().strip()
+        known = ["MathMLElement"] if page.spec.get("shortname") == "mathml-core" else interfaces.get(f"html{name}element", [])
+        put(name, n, known[0] if len(known) == 1 else None)
     return out
 
 

@@ -51,7 +51,14 @@ def spec_pages(spark, sf_dir: str) -> DataFrame:
     made = F.when(k == 0, '<meta name="generator" content="Bikeshed version 1">').when(k == 1, '<meta name=generator content="ReSpec 3">').otherwise("")
     sha = F.substring(F.sha2(F.col("shortname"), 256), 1, 40)
     head = F.concat(F.when(F.col("title").isNull(), "").otherwise(tag("title", {}, escape(F.col("title")))), made, F.lit('<meta name="revision" content="'), F.when(k == 3, "none").otherwise(sha), F.lit('">'))
-    refs = F.concat(F.lit("<h2 id=normative>Normative</h2><dl><dt>[ "), F.upper("shortname"), F.lit("]</dt><dd>"), F.coalesce(tag("a", {"href": F.col("release_url")}, F.lit("r")), F.lit("gone")), F.lit("</dd><dt>[NON]</dt><dd>Non-normative</dd></dl><h2 id=informative>I</h2><dl><dt>[X"), k.cast("string"), F.lit("]</dt><dd>x</dd></dl>"))
+    own = F.concat(F.lit("<dl><dt>[ "), F.upper("shortname"), F.lit("]</dt><dd>"), F.coalesce(tag("a", {"href": F.col("release_url")}, F.lit("r")), F.lit("gone")), F.lit("</dd><dt>[NON]</dt><dd>Non-normative</dd></dl>"))
+    more = F.concat(F.lit("<dl><dt>[X"), k.cast("string"), F.lit("]</dt><dd>x</dd></dl>"))
+    refs = (
+        F.when(k == 0, F.concat(F.lit("<h2 id=normative>N</h2>"), own, F.lit("<h2 id=informative>I</h2>"), more))
+        .when(k == 1, F.concat(F.lit("<section id=normative-references><h3>N</h3>"), own, F.lit("</section><section id=informative-references>"), more, F.lit("</section>")))
+        .when(k == 2, F.concat(F.lit("<h2>7.1. Normative References</h2><p>x</p>"), own, F.lit("<h2>7.2 Non-normative references</h2><ul><li>[1] "), tag("a", {"href": F.concat(F.lit("https://x.example/"), "shortname")}, F.lit("X2")), F.lit("<ul><li><a href=no>no</a></li></ul></li></ul>")))
+        .otherwise(F.concat(F.lit("<h2>References</h2>"), own))
+    )
     code = F.concat(F.lit("<pre class=idl>\n  interface I"), F.col("spec_no").cast("string"), F.lit(" {\n    attribute long a;\n  };\n</pre><aside><pre class=idl>interface No {};</pre></aside><pre class='cddl' data-cddl-module='m"), k.cast("string"), F.lit("'>a = "), F.col("spec_no").cast("string"), F.lit("</pre><pre class=cddl>all = 1</pre>"))
     served = F.when(k == 2, F.concat(F.lit("2022-0"), (F.col("spec_no") % 9 + 1).cast("string"), F.lit("-05T10:00:00Z")))
     return s.select("url", "shortname", F.lit(None).cast("string").alias("title"), served.alias("last_modified"), F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), when, refs, code, F.lit("</body></html>")).alias("html"))
@@ -278,10 +285,11 @@ ORACLE = {
         SELECT shortname, kind, x.a || lower(x.b) || CASE WHEN split_part(x.c, '#', 1) = '' THEN '/' ELSE split_part(x.c, '#', 1) END AS link_url, count(DISTINCT nullif(@@, '')) AS n_anchors FROM p GROUP BY ALL""".replace("@@", _as_written("split_part(x.c, '#', 2)")),
     "ref_x6_ids": f"SELECT page_url, id AS anchor, CAST(k AS INTEGER) AS place FROM {_H}",
     "ref_x7_headings": f"SELECT page_url, id, CAST(least(level_no, 6) AS INTEGER) AS level, {_T.format(c='title')} AS title, number_txt, 1 AS plain_href, CAST(k AS INTEGER) AS place FROM {_H} WHERE {_PLAIN.format(c='id')}",
-    "ref_x8_references": f"SELECT shortname, 'normative' AS kind, upper(shortname) AS ref_name, release_url AS ref_url FROM {_S} UNION ALL SELECT shortname, 'informative', 'NON', NULL FROM {_S} UNION ALL SELECT shortname, 'informative', 'X' || spec_no % 4, NULL FROM {_S}",
+    "ref_x8_references": f"""SELECT shortname, 'normative' AS kind, upper(shortname) AS ref_name, release_url AS ref_url FROM {_S} UNION ALL SELECT shortname, CASE WHEN spec_no % 4 = 2 THEN 'normative' ELSE 'informative' END, 'NON', NULL FROM {_S}
+        UNION ALL SELECT shortname, 'informative', 'X' || spec_no % 4, CASE WHEN spec_no % 4 = 2 THEN 'https://x.example/' || shortname END FROM {_S} WHERE spec_no % 4 < 3""",
     "ref_x9_idl": f"SELECT shortname, 'interface I' || spec_no || ' {{{{' || chr(10) || '  attribute long a;' || chr(10) || '}}}};' AS idl FROM {_S}".replace("{{", "{").replace("}}", "}"),
     "ref_x10_cddl": f"SELECT shortname, unnest(['all', 'm' || spec_no % 4]) AS module, 'a = ' || spec_no || chr(10) || chr(10) || 'all = 1' AS cddl FROM {_S}",
-    "ref_x11_elements": f"SELECT page_url, id AS dfn_id, {_T.format(c='lt[1]')} AS element, CAST(EXISTS (SELECT 1 FROM {_D} o WHERE o.dfn_type = 'element-attr' AND o.page_url = d.page_url AND o.dfn_no // {PART} = d.dfn_no // {PART} AND o.dfn_no % 2 = 0 AND lower(o.lt[1]) = lower(d.lt[1])) AS INTEGER) AS has_interface FROM {_D} d WHERE dfn_type = 'element-attr' AND len(lt) > 0",
+    "ref_x11_elements": f"SELECT page_url, id AS dfn_id, {_T.format(c='lt[1]')} AS element, CAST((SELECT count(*) = 1 FROM {_D} o WHERE o.dfn_type = 'element-attr' AND o.page_url = d.page_url AND o.dfn_no // {PART} = d.dfn_no // {PART} AND o.dfn_no % 2 = 0 AND lower(o.lt[1]) = d.lt[1]) AS INTEGER) AS has_interface FROM {_D} d WHERE dfn_type = 'element-attr' AND len(lt) > 0",
     "ref_x12_events": f"""SELECT page_url, 'ev' || translate(CAST(dfn_no AS VARCHAR), '0123456789', 'abcdefghij') AS type, CASE WHEN dfn_no % 3 = 0 THEN 'fire-' || dfn_no ELSE id END AS anchor, CASE WHEN dfn_no % 2 = 0 THEN 'Event' ELSE 'GoEvent' END AS interface,
         CASE WHEN dfn_no % 3 <> 0 AND len(f) > 0 THEN array_to_string(f, '|') END AS targets, CASE WHEN dfn_no % 2 = 0 THEN 1 END AS bubbles, 'fire an event phrasing' AS source
         FROM (SELECT *, first_value(df) OVER (PARTITION BY page_url, dfn_no // {PART}, id, dfn_no % 3 <> 0 ORDER BY dfn_no) AS f FROM {_D} WHERE dfn_type = 'event')""",

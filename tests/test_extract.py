@@ -51,13 +51,34 @@ def test_headings_and_outline():
 
 
 def test_references():
-    p = page("<h2 id=normative>Normative</h2><dl><dt>[A]<dd><a href='https://a.example'>A</a><dt>[B]<dd>non-normative</dl><h2 id=informative>I</h2><dl><dt>[C]<dd>c</dl>")
-    assert m.references(p) == {"normative": [{"name": "A", "url": "https://a.example/"}], "informative": [{"name": "B"}, {"name": "C"}]}
-    p = page("<h2>9 References</h2><ul><li>[X] text <a href='https://x.example/'>X</a></ul>")
-    assert m.references(p) == {"normative": [{"name": "X", "url": "https://x.example/"}], "informative": []}
+    dl = "<dl><dt>[A B]<dd><a href='#local'>x</a><a href='https://a.example'>A</a><dt>[B]<dd>non-normative<dt>[]<dd>none</dl>"
+    other = "<dl><dt>[C]<dd>c</dl>"
+    made = "<meta name=generator content='{}'>".format
+    want = {"normative": [{"name": "AB", "url": "https://a.example/"}], "informative": [{"name": "B"}, {"name": "C"}]}
+    assert m.references(page(made("Bikeshed") + "<h2 id=normative>N</h2>" + dl + "<h2 id=informative>I</h2>" + other)) == want
+    assert m.references(page(made("ReSpec") + "<section id=normative-references><h2>N</h2>" + dl + "</section><section id=informative-references>" + other + "</section>")) == want
+    assert m.references(page(made("ReSpec") + "<h2 id=normative>N</h2>" + dl)) is None
+    by_name = m.references(page("<h2>A.1 Normative References</h2><p>x" + other + "<h2>2 normative  references</h2><p>y" + dl + "<h2>Informative references</h2><ul><li>[1] <a href='rel'>One</a><ul><li><a href=no>no</a></ul><li>Two <ul><li>no</ul></ul><h2>End</h2>" + dl))
+    assert by_name == {"normative": [{"name": "AB", "url": "https://a.example/"}, {"name": "B"}], "informative": [{"name": "One", "url": "rel"}, {"name": "Two"}]}
+    parts = m.references(page("<h2>9 References</h2><h3>Normative</h3>" + other + "<h3>Informative</h3><ul><li>X</ul><h2>More</h2>" + dl))
+    assert parts == {"normative": [{"name": "C"}], "informative": [{"name": "X"}]}
+    assert m.references(page("<h2>References</h2>" + dl)) == {"normative": [{"name": "AB", "url": "https://a.example/"}], "informative": [{"name": "B"}]}
+    clauses = m.references(page("<emu-clause id=sec-references-normative><h1>N</h1><p>ONE 1, <i>Title</i></p><p>TWO. <a href='https://t.example/'>t</a></p><p>Just words, no more</p></emu-clause>"))
+    assert clauses == {"normative": [{"name": "ONE 1"}, {"name": "TWO", "url": "https://t.example/"}], "informative": []}
     assert m.references(page("<p>none")) is None
 
 
+def test_elements_of_all_forms():
+    p = page("<h4 id=h>The <dfn id=v>video</dfn> and <dfn id=a>audio</dfn> elements</h4><dl class=element><dt>Categories:<dd>x<dt>DOM interface:<dd>Use HTMLThing, as is</dl><h4>Core concepts</h4><dl class=element><dt>x<dd>y</dl>")
+    assert m.elements(p) == [{"name": n, "href": f"https://a.example/x/#{i}", "interface": "HTMLThing"} for n, i in (("video", "v"), ("audio", "a"))]
+    p = page("<section id=s><div class=element-summary><div class=element-name>‘circle’</div><dl><dt>DOM Interfaces:<dd>SVGCircle</dl></div></section><table class=definition-table><tr><td><dfn id=f>feBlur</dfn><tr><th>DOM Interfaces<td>FE</table>")
+    assert m.elements(p) == [{"name": "circle", "href": "https://a.example/x/#s", "interface": "SVGCircle"}, {"name": "feBlur", "href": "https://a.example/x/#f", "interface": "FE"}]
+    two = "<dfn id=e data-dfn-type=element>b</dfn><dfn data-dfn-type=interface>HTMLbElement</dfn><dfn data-dfn-type=interface>HTMLBElement</dfn>"
+    assert m.elements(page(two)) == [{"name": "b", "href": "https://a.example/x/#e"}] and m.elements(page(two, shortname="mathml-core"))[0]["interface"] == "MathMLElement"
+    with pytest.raises(ValueError):
+        m.elements(page("<dl class=element><dt>x</dl>"))
+
+
 def test_code_blocks():
     p = page("<pre class=idl>\n  interface A {\n    attribute long b;\n  };\n</pre><div class=note><pre class=idl>no</pre></div><pre class='idl exclude'>no</pre><pre><code class=idl>enum E {};</code></pre>")
     assert m.idl(p) == "interface A {\n  attribute long b;\n};\n\nenum E {};"
