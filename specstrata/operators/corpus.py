@@ -152,8 +152,24 @@ def complete_properties(properties: DataFrame, definitions: DataFrame) -> DataFr
     return every.withColumn("style_declaration", css_idl_names(F.col("name")))
 
 
+# Rules for documents whose definitions are known to clash with others: part of the URL, term, action.
+PATCHES = (
+    ("/deviceorientation/", "PermissionState", "drop"),
+    ("/TR/orientation-event/", "PermissionState", "drop"),
+    ("/portals/", "MessageEventSource", "drop first"),
+    ("/TR/WebCryptoAPI/", None, "private"),
+    ("/TR/pub-manifest/", None, "private"),
+    ("/TR/audiobooks/", None, "private"),
+)
+
+
+def patches(spark) -> DataFrame:
+    """The rules for documents that are known to need them."""
+    return spark.createDataFrame(PATCHES, "url_part string, term string, action string")
+
+
 def patch_definitions(definitions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Definitions after a table of rules (url_part, term, action): ``drop`` removes those of a term (any, if null) from documents whose URL holds the part, ``private`` makes them private.
+    """Definitions after a table of rules (url_part, term, action): ``drop`` removes those of a term (any, if null) from documents whose URL holds the part, ``drop first`` those whose first text is the term, ``private`` makes them private.
 
     definitions: url, linking_text, dfn_for, access_mode. The rules are a short list by nature.
     """
@@ -162,8 +178,8 @@ def patch_definitions(definitions: DataFrame, rules: DataFrame) -> DataFrame:
     for r in rules.select("url_part", "term", "action").distinct().collect():
         hit = F.coalesce(F.col("url").contains(r["url_part"]), F.lit(False))
         if r["term"] is not None:
-            hit = hit & F.array_contains(texts, r["term"])
-        if r["action"] == "drop":
+            hit = hit & (F.coalesce(F.try_element_at("linking_text", F.lit(1)) == r["term"], F.lit(False)) if r["action"] == "drop first" else F.array_contains(texts, r["term"]))
+        if r["action"] != "private":
             dropped = dropped | hit
         else:
             private = private | hit

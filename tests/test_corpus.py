@@ -137,9 +137,34 @@ def test_events_and_trees(spark):
     rows = [("e", None, ["Element", "Div", "Mix"], True, "h", None, "a", 1), ("e", "E", ["Window"], None, "h", True, "b", 2), ("bare", None, None, None, None, None, "a", 3)]
     mixins = spark.createDataFrame([("Mix", "Window")], "mixin string, interface string")
     got = {(r["type"], r["target"]): r for r in events.merge_events(spark.createDataFrame(rows, kind), mixins, names, trees).collect()}
-    assert set(got) == {("e", "Element"), ("e", "Window"), ("bare", None)}
-    assert got["e", "Element"]["bubbles"] and got["e", "Element"]["bubbling_path"] == ["Node", "Document", "Window"] and got["e", "Window"]["bubbles"] is None
+    assert set(got) == {("e", "Element"), ("bare", None)}  # what reaches the window by bubbling is not listed
+    assert got["e", "Element"]["bubbles"] and got["e", "Element"]["bubbling_path"] == ["Node", "Document", "Window"]
     assert got["e", "Element"]["interface"] == "E" and got["e", "Element"]["extended_in"] == ["b"]
+    still = [(*rows[0][:3], False, *rows[0][4:]), *rows[1:]]
+    got = {(r["type"], r["target"]): r["bubbles"] for r in events.merge_events(spark.createDataFrame(still, kind), mixins, names, trees).collect()}
+    assert got == {("e", "Element"): False, ("e", "Window"): None, ("bare", None): None}
+
+
+def test_extended_and_split_events(spark):
+    names = spark.createDataFrame([("Node", None), ("Element", "Node"), ("Window", None), ("Document", None)], "name string, inheritance string")
+    kind = "type string, interface string, targets array<string>, bubbles boolean, href string, is_extension boolean, spec string, ord int, cancelable boolean, spec_url string"
+    rows = [
+        ("e", "E", ["Element"], True, "https://a/#e", False, "a", 1, None, "https://a/"), ("e", None, ["Window", "Document"], None, "https://a/#e2", True, "b", 2, None, "https://b/"), ("e", "F", ["Node"], None, "https://a/#e", True, "c", 3, None, "https://c/"), ("lost", None, ["Node"], None, "https://z/#l", True, "c", 4, None, "https://c/"),
+        ("f", None, ["Window"], None, "https://a/#f", False, "a", 5, True, "https://a/"), ("f", None, ["Other"], None, "https://a/#f", False, "a", 6, True, "https://a/"), ("f", None, ["Third"], None, "https://a/#f", False, "a", 7, False, "https://a/"),
+    ]
+    mixins = spark.createDataFrame([], "mixin string, interface string")
+    merged = events.merge_events(spark.createDataFrame(rows, kind), mixins, names, idlgraph.bubbling_trees(spark)).collect()
+    got = {}
+    for r in merged:
+        got.setdefault((r["type"], r["interface"], tuple(r["extended_in"])), set()).add(r["target"])
+    assert got == {("e", "E", ("b",)): {"Element"}, ("e", "F", ()): {"Node"}, ("lost", None, ()): {"Node"}, ("f", None, ()): {"Window", "Other", "Third"}}
+    assert len({r["event_id"] for r in merged if r["type"] == "f"}) == 2
+
+
+def test_patches(spark):
+    d = spark.createDataFrame([("https://x/deviceorientation/", ["PermissionState"], [], "public"), ("https://x/deviceorientation/", ["y"], ["PermissionState"], "public"), ("https://x/portals/", ["MessageEventSource"], [], "public"), ("https://x/portals/", ["o", "MessageEventSource"], [], "public"), ("https://x/TR/audiobooks/", ["z"], None, "public"), (None, None, None, None)], "url string, linking_text array<string>, dfn_for array<string>, access_mode string")
+    got = corpus.patch_definitions(d, corpus.patches(spark)).collect()
+    assert [(r["linking_text"], r["access_mode"]) for r in got] == [(["o", "MessageEventSource"], "public"), (["z"], "private"), (None, None)]
 
 
 def test_files_round_trip(spark, tmp_path):
