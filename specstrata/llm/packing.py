@@ -231,6 +231,6 @@ def p7_fill(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     placed = p7_containers(spark, sf_dir, vocabulary).where("n_tokens > 0")
     containers = placed.groupBy("limit_id", "capacity", "window_length", "container_no").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("pieces"))
     by_tier = containers.groupBy("limit_id", "capacity", "window_length").agg(F.count("*").alias("n"), F.sum("pieces").alias("p"), F.sum("fill").alias("f"), F.max("fill").alias("m"))
-    both = by_tier.unionByName(by_tier.withColumn("window_length", F.lit(None).cast("long")))
+    both = by_tier.withColumn("window_length", F.explode(F.array("window_length", F.lit(None).cast("long"))))  # a row for its tier and one for the sum
     sums = [F.sum("n").alias("n_containers"), F.sum("p").alias("n_pieces"), F.sum("f").alias("n_tokens"), F.max("m").alias("fullest"), (1 - F.sum("f") / (F.sum("n") * F.first("capacity"))).alias("unused_share")]
     return both.groupBy("limit_id", "capacity", "window_length").agg(*sums)
