@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specstrata.operators.hierarchy import closure
-from specstrata.session import materialize
+from specstrata.session import materialize, shuffle_partitions
+
+#: Bytes of names, links and definitions that are sent to every task; larger graphs are joined.
+SENT = 64 << 20
+#: Rows that a task makes at once.
+AT_ONCE = 2_000_000
 
 #: Interface trees along which events bubble, root first (fixed values).
 BUBBLING_TREES = {
@@ -70,20 +80,131 @@ def tree_info(names: DataFrame, trees: DataFrame) -> DataFrame:
     return every.distinct().join(trees, "interface").withColumn("_k", F.row_number().over(nearest)).where("_k = 1").select("name", "tree", "interface", "depth", "bubbling_path")
 
 
+def _links(names: DataFrame, includes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All names (name) and the links between them (v, parent), each once, written."""
+    known = materialize(names.select("name").where("name is not null").distinct())
+    links = names.select(F.col("name").alias("v"), F.col("inheritance").alias("parent")).unionByName(includes.select(F.col("target").alias("v"), F.col("mixin").alias("parent"))).where("v is not null and parent is not null").distinct()
+    links = links.join(known.withColumnRenamed("name", "v"), "v", "left_semi").join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").select("v", "parent")
+    return known, materialize(links)
+
+
+def _bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes of texts and of a number for each row and column."""
+    each = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    return df.agg(F.sum(each + 8 * max(1, len(columns)))).first()[0] or 0
+
+
+def _lists(of: np.ndarray, items: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, items): the items of k = 0 to n - 1 are items[first[k] : first[k + 1]]."""
+    order = np.argsort(of, kind="stable")
+    return np.searchsorted(of[order], np.arange(n + 1)), items[order]
+
+
+def _spread(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all items of the lists ``at``, and for each the place in ``at`` of its list."""
+    sizes = first[at + 1] - first[at]
+    of = np.repeat(np.arange(len(at)), sizes)
+    return np.arange(len(of)) + np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes), of
+
+
+def reached(first: np.ndarray, above: np.ndarray, starts: np.ndarray, rows: np.ndarray | None = None, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, node) in parts, of every start with itself and all that lies above it; the parts hold whole starts.
+
+    A part stands for ``at_once`` rows at most, or is one start; rows: those
+    that a node stands for, else one each.
+    """
+    n = len(first) - 1
+    cut = max(1, 8 * at_once // max(n, 1))
+    if len(starts) > cut:
+        for k in range(0, len(starts), cut):
+            yield from reached(first, above, starts[k : k + cut], rows, at_once)
+        return
+    seen = np.zeros(len(starts) * n, bool)
+    codes = np.arange(len(starts)) * n + starts
+    found, total = [], 0
+    while len(codes):
+        seen[codes] = True
+        found.append(codes)
+        total += len(codes) if rows is None else max(len(codes), int(rows[codes % n].sum()))
+        if total > at_once and len(starts) > 1:
+            half = len(starts) // 2
+            yield from reached(first, above, starts[:half], rows, at_once)
+            yield from reached(first, above, starts[half:], rows, at_once)
+            return
+        node = codes % n
+        at, of = _spread(first, node)
+        codes = (codes - node)[of] + above[at]
+        codes = np.unique(codes[~seen[codes]])
+    every = np.concatenate(found) if found else codes
+    yield starts[every // max(n, 1)], every % max(n, 1)
+
+
+def _graph_arrays(known: DataFrame, links: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The names, and by their places the lists of what lies directly above each."""
+    names, pairs = known.toArrow()["name"].combine_chunks(), links.toArrow()
+    v, parent = (pc.index_in(pairs[c], value_set=names).to_numpy().astype(np.int64) for c in ("v", "parent"))
+    return names, *_lists(v, parent.astype(np.int32), len(names))
+
+
+def _over_names(spark, n: int, scan, schema: str) -> DataFrame:
+    """``scan`` over the places of n names."""
+    parts = max(shuffle_partitions(spark), -(-n // 10_000))
+    return spark.range(0, n, numPartitions=parts).mapInArrow(scan, schema)
+
+
 def name_graph(names: DataFrame, includes: DataFrame) -> DataFrame:
     """name, related: every name with itself and all that it inherits from or includes, over any number of steps; chains that go round end.
 
     names: name, inheritance. includes: target, mixin. Names nobody defines
     are left out.
     """
-    known = names.select("name").where("name is not null").distinct()
-    links = names.select(F.col("name").alias("v"), F.col("inheritance").alias("parent")).unionByName(includes.select(F.col("target").alias("v"), F.col("mixin").alias("parent"))).where("v is not null and parent is not null").distinct()
-    links = links.join(known.withColumnRenamed("name", "v"), "v", "left_semi").join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").select("v", "parent")
-    reached = closure(links).select(F.col("v").alias("name"), F.col("above").alias("related"))
-    return known.withColumn("related", F.col("name")).unionByName(reached).distinct()
+    return _graph(*_links(names, includes))
+
+
+def _graph(known: DataFrame, links: DataFrame) -> DataFrame:
+    above = closure(links).select(F.col("v").alias("name"), F.col("above").alias("related"))
+    return known.withColumn("related", F.col("name")).unionByName(above).distinct()
 
 
 def name_definitions(graph: DataFrame, definitions: DataFrame) -> DataFrame:
     """name, url, hrefs: for each name the definitions (name, url, href) of what it defines, inherits and includes, by document."""
     found = graph.join(definitions.select(F.col("name").alias("related"), "url", "href").where("href is not null"), "related")
     return found.groupBy("name", "url").agg(F.array_sort(F.collect_set("href")).alias("hrefs"))
+
+
+def reached_definitions(names: DataFrame, includes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """What ``name_definitions`` makes of the ``name_graph`` of names and includes.
+
+    Names, links and definitions of up to SENT bytes are sent to every task,
+    which walks up from its share of the names and gathers what it meets;
+    nothing is shuffled. Larger ones are joined.
+    """
+    known, links = _links(names, includes)
+    own = materialize(definitions.where("href is not null").select("name", "url", "href").join(known, "name", "left_semi").distinct())
+    if _bytes(known, "name") + _bytes(links) + _bytes(own, "url", "href") > SENT:
+        return name_definitions(_graph(known, links), own)
+    spark = names.sparkSession
+    texts, first, above = _graph_arrays(known, links)
+    given = own.toArrow()
+    urls = given["url"].combine_chunks().dictionary_encode(null_encoding="encode")
+    hrefs = pc.unique(given["href"].combine_chunks())
+    hrefs = hrefs.take(pc.sort_indices(hrefs))
+    key = urls.indices.to_numpy().astype(np.int64) * len(hrefs) + pc.index_in(given["href"].combine_chunks(), value_set=hrefs).to_numpy()
+    sent = spark.sparkContext.broadcast((texts, first, above, urls.dictionary, hrefs, *_lists(pc.index_in(given["name"].combine_chunks(), value_set=texts).to_numpy(), key, len(texts))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, first, above, urls, hrefs, firsts, keys = sent.value
+        width, h = len(urls) * len(hrefs), len(hrefs)
+        for batch in batches:
+            for start, node in reached(first, above, batch.column(0).to_numpy(), np.diff(firsts)):
+                at, of = _spread(firsts, node)
+                ids, place = np.unique(start, return_inverse=True)
+                rows = np.unique(place[of] * width + keys[at])
+                groups, begins = np.unique(rows // h, return_index=True) if h else (rows, rows)
+                ends = np.append(begins, len(rows))
+                for k in range(0, len(groups), 50_000):
+                    g, e = groups[k : k + 50_000], ends[k : k + 50_001]
+                    lists = pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), hrefs.take(pa.array(rows[e[0] : e[-1]] % h)))
+                    yield pa.RecordBatch.from_arrays([texts.take(pa.array(ids[g // len(urls)])), urls.take(pa.array(g % len(urls))), lists], names=["name", "url", "hrefs"])
+
+    return _over_names(spark, len(texts), scan, "name string, url string, hrefs array<string>")

@@ -64,7 +64,7 @@ def ref_c4_graph(spark, sf_dir: str) -> DataFrame:
 def ref_c4_definitions(spark, sf_dir: str) -> DataFrame:
     """The fragments of all that a name defines, inherits and includes, by spec."""
     rows = table(spark, sf_dir, "idlnames").select(F.trim("idl_name").alias("name"), F.col("shortname").alias("url"), F.concat(F.lit("#"), F.col("idl_no").cast("string")).alias("href")).distinct()
-    found = idlgraph.name_definitions(idlgraph.name_graph(*_names_and_mixins(spark, sf_dir)), rows)
+    found = idlgraph.reached_definitions(*_names_and_mixins(spark, sf_dir), rows)
     return found.select("name", F.col("url").alias("spec"), F.array_join("hrefs", " ").alias("hrefs"))
 
 
