@@ -156,9 +156,22 @@ def name_graph(names: DataFrame, includes: DataFrame) -> DataFrame:
     """name, related: every name with itself and all that it inherits from or includes, over any number of steps; chains that go round end.
 
     names: name, inheritance. includes: target, mixin. Names nobody defines
-    are left out.
+    are left out. Names and links of up to SENT bytes are sent to every task,
+    which walks up from its share of the names; larger ones are joined.
     """
-    return _graph(*_links(names, includes))
+    known, links = _links(names, includes)
+    if _bytes(known, "name") + _bytes(links) > SENT:
+        return _graph(known, links)
+    sent = names.sparkSession.sparkContext.broadcast(arrays := _graph_arrays(known, links))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, first, above = sent.value
+        for batch in batches:
+            for start, node in reached(first, above, batch.column(0).to_numpy()):
+                for k in range(0, len(start), 50_000):
+                    yield pa.RecordBatch.from_arrays([texts.take(pa.array(x[k : k + 50_000])) for x in (start, node)], names=["name", "related"])
+
+    return _over_names(names.sparkSession, len(arrays[0]), scan, "name string, related string")
 
 
 def _graph(known: DataFrame, links: DataFrame) -> DataFrame:

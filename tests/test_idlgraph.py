@@ -35,6 +35,25 @@ def test_definitions_without_writing_the_pairs(spark, ring):
     assert written <= 5 * RING
 
 
+def test_graph_without_writing_the_pairs(spark, ring):
+    got, written = rows_written(spark, lambda: registry.queries()["ref_c4_graph"](spark, ring).collect())
+    assert sorted(tuple(r) for r in got) == sorted((f"N{a}", f"N{b}") for a in range(RING) for b in range(RING))
+    assert written <= 5 * RING
+
+
+def test_graph_sent_and_joined_agree(spark, monkeypatch):
+    names = spark.createDataFrame([("A", "B"), ("A", "B"), ("B", "C"), ("C", None), ("D", "E"), ("E", "D"), ("M", "gone"), ("", "A"), (None, "A")], "name string, inheritance string")
+    includes = spark.createDataFrame([("B", "M"), ("A", "lost"), ("lost", "A"), ("C", None), (None, "C"), ("M", "")], "target string, mixin string")
+
+    def rows(*of):
+        return sorted(tuple(r) for r in idlgraph.name_graph(*of).collect())
+
+    sent, empty = rows(names, includes), rows(names.limit(0), includes)
+    assert ("A", "M") in sent and ("M", "A") in sent and ("D", "D") in sent and not any("lost" in r for r in sent) and empty == []
+    monkeypatch.setattr(idlgraph, "SENT", -1)
+    assert rows(names, includes) == sent and rows(names.limit(0), includes) == []
+
+
 def test_definitions_sent_and_joined_agree(spark, monkeypatch):
     names = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", None), ("D", "E"), ("E", "D"), ("M", "gone"), ("", "A"), (None, "A")], "name string, inheritance string")
     includes = spark.createDataFrame([("B", "M"), ("A", "lost"), ("C", None), (None, "C"), ("C", "")], "target string, mixin string")
