@@ -17,7 +17,7 @@ from specstrata.operators import corpus, cssmerge, events, idlgraph, reports, se
 from specstrata.operators.idllinks import expected_idl_definitions, linked_parts, mixin_users
 from specstrata.plans.pages import PART
 from specstrata.plans.training import plain
-from specstrata.session import shared_folder, table
+from specstrata.session import qualified, shared_folder, table
 from specstrata.sources import crawl, sinks
 
 
@@ -415,8 +415,8 @@ def ref_s8_listings(spark, sf_dir: str) -> DataFrame:
 
 def ref_s10_expanded(spark, sf_dir: str) -> DataFrame:
     """Interface, data and style definitions written to files and read back in place of the files' names."""
-    folder = f"{shared_folder(spark).rstrip('/')}/specstrata/{uuid.uuid4().hex}"
-    e = _extracts(spark, sf_dir)
+    folder = f"{qualified(spark, shared_folder(spark)).rstrip('/')}/specstrata/{uuid.uuid4().hex}"
+    e = _extracts(spark, sf_dir).withColumn("url", F.regexp_replace(F.coalesce("url", F.lit("")), "\\s+", " "))  # headers end at a blank line
     for documents in (sinks.idl_documents(e), sinks.css_documents(e), sinks.extract_documents(e, "cddl")):
         sinks.write_documents(documents, folder)
     linked = sinks.with_files(sinks.with_files(e.withColumn("css", F.when(F.col("spec_no") % 4 > 0, F.col("css"))), "idl", ".idl"), "cddl")

@@ -37,6 +37,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark takes it, with the scheme of its file system: the one it names, else the default one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def located(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Scheme of a folder's file system, as Spark takes it, and what ``opened`` needs of the folder."""
+    uri = spark._jvm.org.apache.hadoop.fs.Path(qualified(spark, folder)).toUri()
+    return uri.getScheme(), uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+
+def opened(scheme: str, root: str):
+    """In a task: the file system of a ``located`` folder and the folder's path in it."""
+    from pyarrow import fs
+
+    system, base = (fs.LocalFileSystem(), root) if scheme == "file" else fs.FileSystem.from_uri(root)
+    return system, base.rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a table written in the shared folder: columns compressed, read selectively and with known sizes."""
     spark = df.sparkSession

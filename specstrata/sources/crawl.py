@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specstrata.functions.text import strip_header
+from specstrata.session import located, opened
 
 #: Resources a document needs no reading of (fixed values).
 SKIPPED = r"\.(?:png|jpe?g|gif|webp|ico|svg|woff2?|ttf|otf|eot|css)(?:[?#].*)?$"
@@ -53,9 +57,19 @@ def expand_extract(specs: DataFrame, folder: str, column: str) -> DataFrame:
     the extract itself is taken, of a style document all but its header. A
     value that names no file stays.
     """
-    spark = specs.sparkSession
-    named = F.col("_metadata.file_path")
-    files = spark.read.text(f"{folder}/{column}", wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))), "([^/]+/[^/]+)$", 1).alias("_name"), F.col("value").alias("_text"))
+    scheme, root = located(specs.sparkSession, folder)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = opened(scheme, root)
+        for pdf in batches:
+            names = [name for name in pdf["_name"] if ".." not in name.split("/")]
+            there = system.get_file_info([f"{base}/{name}" for name in names])
+            rows = [(name, system.open_input_stream(info.path).readall().decode(errors="replace")) for name, info in zip(names, there) if info.is_file]
+            yield pd.DataFrame(rows, columns=["_name", "_text"])
+
+    # opened by their names: a listing leaves out names that begin with a dot or underscore, and can't open those with a colon
+    named = specs.select(F.col(column).alias("_name")).where(F.col("_name").startswith(f"{column}/") & (F.octet_length("_name") < 256)).distinct()
+    files = named.mapInPandas(read, "_name string, _text string")
     inner = F.get_json_object("_text", f"$.{column}")
     if column == "css":
         parts = F.map_filter(F.from_json("_text", "map<string,string>"), lambda k, v: k != "spec")

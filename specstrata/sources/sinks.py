@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specstrata.functions.jsontext import read_json, write_json
+from specstrata.session import located, opened
 
 
 def _filled(extracts: DataFrame, column: str) -> Column:
@@ -141,18 +143,17 @@ def write_documents(documents: DataFrame, folder: str) -> None:
     """Write (file, body) rows, each task its own files, through the file system that the folder's scheme names.
 
     A folder without a scheme is one of this machine, so it serves a local
-    session only.
+    session only. Every form that Spark reads is understood (``file:/a b``).
     """
-    if "://" not in folder and not documents.sparkSession.sparkContext.master.startswith("local"):
+    spark = documents.sparkSession
+    if not urlsplit(folder).scheme and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{folder} names no file system that all executors share")
-    root = folder if "://" in folder else "file://" + folder
+    scheme, root = located(spark, folder)
 
     def put(rows) -> None:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = opened(scheme, root)
         for row in rows:
-            path = f"{base.rstrip('/')}/{row['file']}"
+            path = f"{base}/{row['file']}"
             system.create_dir(path.rpartition("/")[0], recursive=True)
             with system.open_output_stream(path) as f:
                 f.write(row["body"].encode())
